@@ -56,4 +56,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM r
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1}
+
+def shingle_ctes(source: str, k: int = 5) -> str:
+    """CTEs `w` (words by position) and `sets` (doc_id, s: distinct shingles) of a table or subquery with doc_id and text."""
+    return rf"""
+w AS (
+  SELECT doc_id, unnest(x) AS x, unnest(range(len(x))) AS i, len(x) AS n
+  FROM (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[^\x20\x09-\x0D]+') AS x FROM {source})),
+sets AS (
+  SELECT DISTINCT doc_id, s FROM (
+    SELECT doc_id, i, n, string_agg(x, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {k - 1} FOLLOWING) AS s FROM w)
+  WHERE i + {k} <= n OR (n < {k} AND i = 0))"""
+
+
+def component_ctes(percent: int) -> str:
+    """CTEs from `sets` to `comp` (doc_id, component_id) over documents linked at `percent` or more."""
+    return f"""
+size AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM sets p JOIN sets q ON p.s = q.s AND p.doc_id < q.doc_id GROUP BY ALL)
+  JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= {percent} * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (SELECT a, a FROM edges UNION SELECT reach.doc_id, b FROM reach JOIN edges ON reach.r = edges.a),
+comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)"""
+
+
+OP8 = f"""
+WITH RECURSIVE {shingle_ctes("documents")}, {component_ctes(85)}
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id,
+  coalesce(component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_near_dedup": OP8}
