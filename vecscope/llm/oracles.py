@@ -90,4 +90,12 @@ SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, coalesce(com
 FROM documents d LEFT JOIN size USING (doc_id) LEFT JOIN comp USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op8_near_dedup": OP8}
+OP4 = f"""
+WITH {shingle_ctes("documents").replace("w AS", "dw AS", 1).replace("FROM w)", "FROM dw)").replace("sets AS", "docs AS")},
+{shingle_ctes("(SELECT item_id AS doc_id, text FROM benchmark)")},
+size AS (SELECT doc_id AS item_id, count(*) AS n FROM sets GROUP BY ALL),
+hits AS (SELECT docs.doc_id, sets.doc_id AS item_id, count(*) AS c FROM docs JOIN sets USING (s) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(c AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_item FROM hits JOIN size USING (item_id) WHERE 100 * c >= 80 * n
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_decontamination": OP4, "op8_near_dedup": OP8}
