@@ -8,9 +8,9 @@
     similarity, estimated by joint maximum likelihood from the registers, lies Z standard deviations under the
     threshold are left out; the others are verified on their full shingle sets, and confirmed links give components.
 4.  What this can have lost are links within a bucket between different components.  In buckets that still hold several
-    components, the members outside the largest one meet all other members, in blocks of bounded size and by
-    their registers; survivors are verified as before.  After that every pair of a bucket has been judged, or its ends
-    are connected anyway.  No step lists the pairs of a group, and no group passes through one task.
+    components, the members outside the largest one meet all other members, in blocks of bounded size: by their
+    registers, then on their full sets unless joined meanwhile.  After that every pair of a bucket has been judged, or
+    its ends are connected anyway.  No step lists the pairs of a group, and no group passes through one task.
 
 Defined results
   null or empty text   n_shingles 0, linked with nothing, a component of its own, kept
@@ -142,12 +142,12 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> Da
     return both.mapInArrow(run, "a long, b long, n_both long, n_union long")
 
 
-def residual_pairs(members: DataFrame, percent: int, m: int, rows: int = ROWS) -> DataFrame:
-    """Likely pairs between different components of a bucket.
+def residual_links(members: DataFrame, percent: int, m: int, rows: int = ROWS, k: int = 5) -> DataFrame:
+    """Verified links between different components of a bucket, as many as are needed to join what is connected.
 
-    members: (band, bucket, doc_id, component, n_shingles, registers, visits, blocks).  A member lives in one of its
-    bucket's blocks, and where `visits` it also meets the residents of all blocks.  A pair is judged in the first
-    band it shares only.
+    members: (band, bucket, doc_id, component, n_shingles, registers, text, visits, blocks).  A member lives in one of
+    its bucket's blocks, and where `visits` it also meets the residents of all blocks.  A pair is judged in the first
+    band it shares only: by sizes, then registers, then, unless its ends have been joined meanwhile, on the full sets.
     """
     least, t = percent / 100 - slack(percent, m), percent / 100
     home = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
@@ -159,59 +159,88 @@ def residual_pairs(members: DataFrame, percent: int, m: int, rows: int = ROWS) -
                 F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(x.alias("block"), (x == home).alias("lives"))),
             ).otherwise(F.array(F.struct(home.alias("block"), F.lit(True).alias("lives"))))
         ),
-    ).select("bucket", "band", "place.block", (~F.col("place.lives")).alias("guest"), "visits", "doc_id", "component", "n_shingles", "registers")
+    ).select("bucket", "band", "place.block", (~F.col("place.lives")).alias("guest"), "visits", "doc_id", "component", "n_shingles", "registers", "text")
     dealt = dealt.repartition("bucket", "band", "block").sortWithinPartitions("bucket", "band", "block", "guest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = SetSketch(m)
-        group, home_rows = None, []
-
-        def judge(live: list, guest: list, band: int, within: bool) -> Iterator[tuple[int, int]]:
-            if not live or not guest:
-                return
-            ids, comp = np.array([x[0] for x in live]), np.array([x[1] for x in live])
-            n = np.array([x[2] for x in live], float)
-            regs = np.frombuffer(b"".join([x[3] for x in live]), np.uint16).reshape(len(live), m)
-            for g in guest:
-                mine = np.frombuffer(g[3], np.uint16)
-                ok = (comp != g[1]) & (np.minimum(n, g[2]) >= t * np.maximum(n, g[2]) - 1e-9)
-                if within:  # both live here: once for a pair of visitors
-                    ok &= ~np.array([x[4] for x in live]) | (ids > g[0])
-                else:  # a pair of visitors meets in the home of the lesser id
-                    ok &= ~np.array([x[4] for x in live]) | (ids < g[0])
+        sketch, shingler = SetSketch(m), Shingler(k)
+        group, block = None, None
+
+        class Block:
+            """The residents of one block, and what has been joined in it."""
+
+            def __init__(self, band: int):
+                self.band, self.rows, self.parent, self.sets = band, [], {}, {}
+
+            def root(self, c: int) -> int:
+                while (up := self.parent.get(c, c)) != c:
+                    self.parent[c] = self.parent.get(up, up)
+                    c = up
+                return c
+
+            def seal(self) -> None:
+                r = self.rows
+                self.ids, self.n = np.array([x[0] for x in r]), np.array([x[2] for x in r], float)
+                self.visits = np.array([x[5] for x in r], bool)
+                self.regs = np.frombuffer(b"".join([x[3] for x in r]), np.uint16).reshape(len(r), m)
+
+            def links(self, g: tuple, within: bool) -> Iterator[tuple[int, int]]:
+                # two visitors both meet in the other's home: the home of the lesser id, or the common home, judges them
+                ok = ~self.visits | ((self.ids > g[0]) if within else (self.ids < g[0]))
+                ok &= (np.minimum(self.n, g[2]) >= t * np.maximum(self.n, g[2]) - 1e-9) & (self.ids != g[0])
                 at = np.nonzero(ok)[0]
+                mine = np.frombuffer(g[3], np.uint16)
+                if self.band and len(at):
+                    same = (self.regs[at, : self.band * rows] == mine[: self.band * rows]).reshape(len(at), self.band, rows)
+                    at = at[~same.all(axis=2).any(axis=1)]
                 if not len(at):
-                    continue
-                same = regs[at] == mine
-                if band:
-                    early = same[:, : band * rows].reshape(len(at), band, rows).all(axis=2).any(axis=1)
-                    at, same = at[~early], same[~early]
-                if len(at):
-                    est = sketch.similarity(regs[at], np.broadcast_to(mine, (len(at), m)), n[at], np.full(len(at), float(g[2])))
-                    for i in ids[at[est >= least]].tolist():
-                        yield min(i, g[0]), max(i, g[0])
-
-        for part in _slices(batches, 2048):
-            found: list[tuple[int, int]] = []
-            guests: list = []
-            for bucket, band, block, guest, visits, *rest in zip(*(part.column(c).to_pylist() for c in range(9)), strict=True):
-                if group is not None and (bucket, band, block) != group[:3]:
-                    found += judge(home_rows, guests, group[1], False)
-                    found += judge(home_rows, [x for x in home_rows if x[4]], group[1], True)
-                    home_rows, guests = [], []
-                group = (bucket, band, block)
-                (guests if guest else home_rows).append((*rest, visits))
-            if group is not None:  # guests come after all residents, so what is here can be judged now
-                found += judge(home_rows, guests, group[1], False)
-                guests = []
-            cols = list(zip(*found, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
-        if group is not None:
-            found = list(judge(home_rows, [x for x in home_rows if x[4]], group[1], True))
+                    return
+                est = sketch.similarity(self.regs[at], np.broadcast_to(mine, (len(at), m)), self.n[at], np.full(len(at), float(g[2])))
+                keep = est >= least
+                at = at[keep][np.argsort(-est[keep], kind="stable")]
+                right = None
+                for i in at.tolist():
+                    x = self.rows[i]
+                    a, b = self.root(x[1]), self.root(g[1])
+                    if a == b:
+                        continue
+                    if right is None:
+                        right = shingler.distinct(g[4])
+                    if i not in self.sets:
+                        self.sets[i] = shingler.distinct(x[4])
+                    both = shared(self.sets[i], right)
+                    if 100 * both >= percent * (len(self.sets[i]) + len(right) - both):
+                        self.parent[max(a, b)] = min(a, b)
+                        yield min(x[0], g[0]), max(x[0], g[0])
+
+            def close(self) -> Iterator[tuple[int, int]]:
+                self.seal()
+                for x in self.rows:
+                    if x[5]:
+                        yield from self.links(x, True)
+
+        def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
             cols = list(zip(*found, strict=True)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        for part in _slices(batches, 512):
+            found: list[tuple[int, int]] = []
+            for bucket, band, place, guest, visits, *rest in zip(*(part.column(c).to_pylist() for c in range(10)), strict=True):
+                if (bucket, band, place) != group:
+                    if block is not None:
+                        found += block.close()
+                    group, block = (bucket, band, place), Block(band)
+                if not guest:
+                    block.rows.append((*rest, visits))
+                elif block.rows:
+                    if not hasattr(block, "ids"):  # guests come after all residents
+                        block.seal()
+                    found += block.links((*rest, visits), False)
+            yield batch(found)
+        if block is not None:
+            yield batch(list(block.close()))
+
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def components_of(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text", k: int = 5) -> DataFrame:
@@ -247,13 +276,12 @@ def components_of(docs: DataFrame, percent: int = 80, key: str = "doc_id", text:
     # members and the largest component of each bucket; a bucket of one component is done
     sizes = held.groupBy("bucket", "band", "component").agg(F.count("*").alias("c"))
     largest = sizes.groupBy("bucket", "band").agg(F.count("*").alias("parts"), F.max(F.struct("c", "component"))["component"].alias("main")).where("parts > 1")
-    rest = held.join(largest, ["bucket", "band"]).join(near, "doc_id").select(
-        "bucket", "band", "doc_id", "component", "n_shingles", "registers",
+    rest = held.join(largest, ["bucket", "band"]).join(near, "doc_id").join(texts, "doc_id").select(
+        "bucket", "band", "doc_id", "component", "n_shingles", "registers", "text",
         (F.col("component") != F.col("main")).alias("visits"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
     )
-    more = residual_pairs(rest, percent, m).join(tried.distinct(), ["a", "b"], "left_anti")
-    links = links.select("a", "b").union(scratch.save(verified(more, texts, percent, k), "more").select("a", "b"))
+    links = links.select("a", "b").union(scratch.save(residual_links(rest, percent, m, k=k), "more"))
     final = scratch.save(components(links, scratch, "all"), "components")
 
     labels = classes.join(final, classes.rep == final.node, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
