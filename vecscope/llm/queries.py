@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, near_dedup, pii, quality_fm, quality_rules, url_filter
+from . import bpe, decontaminate, html_text, near_dedup, pii, quality_fm, quality_rules, reshard, url_filter
 from .common import table
 from .oracles import ORACLES
 
@@ -37,6 +38,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dealt = reshard.reshard(table(spark, sf_dir, "documents"), shards=16)
+    return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.components_of(table(spark, sf_dir, "documents"), percent=85)
 
