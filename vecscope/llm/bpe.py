@@ -240,7 +240,7 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
         codec = Codec(source.value)
         make = {
             "n_tokens": lambda i, d: i.count(" ") + 1 if i else 0,
-            "ids": lambda i, d: [int(x) for x in i.split()],
+            "ids": lambda i, d: np.array(i.split(), np.int32),
             "decoded": lambda i, d: d,
             "ids_sha256": lambda i, d: hashlib.sha256(i.encode()).hexdigest(),
             "decoded_sha256": lambda i, d: hashlib.sha256(d.encode()).hexdigest(),

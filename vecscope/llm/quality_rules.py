@@ -155,4 +155,6 @@ def score_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "t
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """The rows of `docs`, columns unchanged, that neither the base nor a rule rejects."""
     boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), docs[text].alias("text_"))
-    return statistics(boxed, "text_", ("row_",)).where(~base_failed() & verdict(rules)).select("row_.*")
+    judged = statistics(boxed, "text_", ("row_",)).select("row_", (~base_failed() & verdict(rules)).alias("kept_"))
+    # a filter would be pushed below the statistics, whose arrays Spark would then make again for each element
+    return judged.select(F.explode(F.when(F.col("kept_"), F.array("row_")).otherwise(F.slice(F.array("row_"), 1, 0))).alias("row_")).select("row_.*")
