@@ -4,7 +4,7 @@
     sets form one class, represented by its least id.
 2.  Runs of registers are bands.  Their number follows from the threshold so that a pair on the threshold shares no
     band with probability MISS at most.  Classes that share a band value form a bucket.
-3.  Each bucket has a leader, another one in every band; members are held against their leaders only.  Pairs whose
+3.  Each bucket has a leader, by one of LEADERS orders of the ids; members are held against their leaders only.  Pairs whose
     similarity, estimated by joint maximum likelihood from the registers, lies Z standard deviations under the
     threshold are left out; the others are verified on their full shingle sets, and confirmed links give components.
 4.  What this can have lost are links within a bucket between different components.  In buckets that still hold several
@@ -43,6 +43,9 @@ ROWS = 5
 MISS = 1e-9
 Z = 5.0
 BLOCK = 512
+#: Orders of the ids among which bands choose their leaders: a member is held against so many leaders of a group, not
+#: against one in every band.
+LEADERS = 8
 
 
 def bands_for(percent: int, rows: int = ROWS, miss: float = MISS) -> int:
@@ -259,8 +262,7 @@ def components_of(docs: DataFrame, percent: int = 80, key: str = "doc_id", text:
     reps = scratch.save(reps, "reps")
 
     rows = band_rows(reps, bands)
-    # another order of the ids in every band, so that a member is held against many leaders
-    order = F.struct(F.xxhash64("band", "doc_id").alias("h"), F.col("doc_id").alias("id"))
+    order = F.struct(F.xxhash64(F.col("band") % LEADERS, "doc_id").alias("h"), F.col("doc_id").alias("id"))
     shared_buckets = rows.groupBy("bucket", "band").agg(F.count("*").alias("n"), F.min(order)["id"].alias("leader")).where("n > 1")
     members = scratch.save(rows.join(shared_buckets, ["bucket", "band"]), "members")
 
