@@ -37,6 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: An open tag that a new one of the set ends, unless a tag of the third set stands between.
 _BREAKS_P = BLOCK - {"button", "label", "legend", "caption"}
 _SCOPE = frozenset("div section article aside main nav header footer ul ol table td th tr form body html blockquote".split())
+CONTAINERS = frozenset("article main nav header footer aside form section body dialog figure table".split())
 WORDS = re.compile(r"[a-z]+|[0-9]+")
 BITS = 14
 
@@ -147,6 +148,12 @@ def _slot(name: str) -> int:
 def _place_features(where: tuple) -> tuple[int, ...]:
     names = {"bias"}
     depth = len(where)
+    # the innermost container says most about a block
+    for tag, words in reversed(where):
+        if words or tag in CONTAINERS:
+            names.add(f"near:{tag}")
+            names.update(f"near:w:{w}" for w in words)
+            break
     for i, (tag, words) in enumerate(where):
         names.add(f"in:{tag}")
         names.update(f"w:{w}" for w in words)
@@ -200,7 +207,7 @@ class Field:
         return out[::-1]
 
 
-def train(pages: list[tuple[str, list[int]]], steps: int = 120, rate: float = 0.15, decay: float = 1e-4) -> Field:
+def train(pages: list[tuple[str, list[int]]], steps: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Field:
     """Maximise the conditional likelihood of labelled pages: forward-backward over all pages at once, Adam steps."""
     seqs, gold = [], []
     for html, labels in pages:
@@ -252,7 +259,7 @@ def train(pages: list[tuple[str, list[int]]], steps: int = 120, rate: float = 0.
 
 
 @functools.lru_cache(maxsize=4)
-def trained(pages: int = 600, seed: int = 11) -> Field:
+def trained(pages: int = 1500, seed: int = 11) -> Field:
     """The field trained on `pages` labelled pages, a bounded and fixed sample."""
     return train(labelled_pages(pages, seed))
 

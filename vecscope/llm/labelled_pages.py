@@ -117,10 +117,10 @@ class Writer:
         self.html.append(f"<{tag}{attr}>" + (f'<div class="{r.choice(BODY)}">' if inner else ""))
         if r.random() < 0.85:
             self.block("h1", self.text(1, 12), 1)
-        for _ in range(r.randint(1, 14)):
+        for _ in range(r.choice((r.randint(0, 3), r.randint(1, 14)))):
             p = r.random()
             if p < 0.7:
-                self.block("p", self.text(1, 90), 1)
+                self.block("p", self.text(1, r.choice((3, 90))), 1)
             elif p < 0.77:
                 self.block("h2", self.text(1, 8), 1)
             elif p < 0.84:
@@ -149,7 +149,8 @@ class Writer:
 
     def page(self) -> tuple[str, list[int]]:
         r = self.rng
-        maybe = lambda p, f, *a: f(*a) if r.random() < p else None
+        bare = r.random() < 0.15  # an article with next to nothing around it
+        maybe = lambda p, f, *a: f(*a) if r.random() < (p / 4 if bare else p) else None
         self.html.append(f"<!DOCTYPE html><html><head><title>{self.text(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head><body>")
         maybe(0.3, self.some, NOTICE, ("div", "section", "aside"), 3, 30)
         maybe(0.5, self.some, TOP, ("header", "header", "div"), 1, 10)
