@@ -172,12 +172,14 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, k
 def rewrite(docs: DataFrame, placement: DataFrame, out: str, key: str = "doc_id", rows_per_file: int = 500_000) -> list[int]:
     """Write the shards that gain or lose rows under `out`, one folder each, in slot order; the rest stay as they are.
 
-    The key identifies a row.  A shard is written by as many tasks as its rows ask for.
+    The key identifies a row.  A shard is written by as many tasks as its rows ask for.  Input columns named shard,
+    slot or part_ are written with a trailing _in.
     """
     moves = placement.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moves.collect())
     if affected:
         where = placement.select(F.col(key).alias("key_"), "shard", "slot").where(F.col("shard").isin(affected))
-        data = docs.join(where, docs[key] == where["key_"]).drop("key_").withColumn("part_", F.floor(F.col("slot") / rows_per_file))
+        kept = [docs[c].alias(f"{c}_in" if c in ("shard", "slot", "part_") else c) for c in docs.columns]
+        data = docs.join(where, docs[key] == where["key_"]).select(*kept, where["shard"], where["slot"], F.floor(where["slot"] / rows_per_file).alias("part_"))
         data.repartition("shard", "part_").sortWithinPartitions("shard", "slot").drop("part_").write.mode("overwrite").partitionBy("shard").parquet(out)
     return affected
