@@ -146,7 +146,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int, k: int = 5) -> Da
 
 
 def residual_links(members: DataFrame, percent: int, m: int, rows: int = ROWS, k: int = 5) -> DataFrame:
-    """Verified links between different components of a bucket, as many as are needed to join what is connected.
+    """Pairs of components (a, b) that a verified link joins, as many as are needed to join what is connected.
 
     members: (band, bucket, doc_id, component, n_shingles, registers, text, visits, blocks).  A member lives in one of
     its bucket's blocks, and where `visits` it also meets the residents of all blocks.  A pair is judged in the first
@@ -214,7 +214,7 @@ def residual_links(members: DataFrame, percent: int, m: int, rows: int = ROWS, k
                     both = shared(self.sets[i], right)
                     if 100 * both >= percent * (len(self.sets[i]) + len(right) - both):
                         self.parent[max(a, b)] = min(a, b)
-                        yield min(x[0], g[0]), max(x[0], g[0])
+                        yield min(x[1], g[1]), max(x[1], g[1])
 
             def close(self) -> Iterator[tuple[int, int]]:
                 self.seal()
@@ -283,8 +283,12 @@ def components_of(docs: DataFrame, percent: int = 80, key: str = "doc_id", text:
         (F.col("component") != F.col("main")).alias("visits"),
         F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"),
     )
-    links = links.select("a", "b").union(scratch.save(residual_links(rest, percent, m, k=k), "more"))
-    final = scratch.save(components(links, scratch, "all"), "components")
+    # what the leftover links join are components; only those few are spread over again
+    joined = components(scratch.save(residual_links(rest, percent, m, k=k), "more"), scratch, "joined")
+    upper = joined.select(F.col("node").alias("component"), F.col("component").alias("upper"))
+    final = found.join(upper, "component", "left").select("node", F.coalesce("upper", "component").alias("component"))
+    lone = joined.join(found.select(F.col("component").alias("node")).distinct(), "node", "left_anti")
+    final = scratch.save(final.union(lone.select("node", "component")), "components")
 
     labels = classes.join(final, classes.rep == final.node, "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     full = sk.where("set_key IS NOT NULL").join(labels, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
