@@ -59,6 +59,7 @@ ROUNDS = 3
 LEAST_SEEDS = 3
 LEAST_CONFIDENCE = 0.7
 LEFT = 64
+BROADCAST_ROWS = 100_000
 
 _SPAN = "struct<start:int,end:int,kind:int,found:string>"
 
@@ -229,21 +230,24 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
-    """`docs` with every span replaced by its kind in brackets, and its length column, where it has one, made anew."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "redact")
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row_")
+    """`docs` with every span replaced by its kind in brackets, and its length column, where it has one, made anew.
+
+    Base spans are found again in the row they belong to; only the few that contexts add are joined, by a broadcast
+    below BROADCAST_ROWS rows, which are counted, and by a shuffle beyond.
+    """
+    scratch = Scratch(docs.sparkSession, "redact")
     # saved whole first: a filter on `seen` would be pushed below and make Spark evaluate the scan again in lambdas
-    s = scratch.save(scan(docs, [docs[key].alias("key_")], docs[text]), "scan").where(F.size("seen") > 0)
+    s = scratch.save(scan(docs, [docs[key].alias("key_")], docs[text]), "scan")
     more = discovered(s, ["key_", "text_hash"], scratch)
-    # only rows with spans are kept in `every`; equal rows of one key and text collapse
-    every = s.groupBy("key_", "text_hash").agg(F.first("base").alias("base")).join(more, ["key_", "text_hash"], "left").select(
-        F.col("key_").alias("k_"), F.col("text_hash").alias("h_"),
-        _by_start(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")))).alias("spans_"),
-    ).where(F.size("spans_") > 0)
+    # rows that are equal in key and text have their spans twice; one set of them stands for all
+    more = scratch.save(more.select(F.col("key_").alias("k_"), F.col("text_hash").alias("h_"), _by_start(F.col("added")).alias("added")), "added")
+    few = more.count() <= BROADCAST_ROWS
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row_")
     boxed = docs.select(row, docs[text].alias("t_"), docs[key].alias("key_"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("text_hash"))
-    joined = boxed.join(every, boxed["key_"].eqNullSafe(every["k_"]) & (boxed["text_hash"] == every["h_"]), "left")
-    new = F.when(F.col("spans_").isNull(), F.col("t_")).otherwise(_blanked(F.col("t_"), F.col("spans_")))
+    joined = boxed.join(F.broadcast(more) if few else more, boxed["key_"].eqNullSafe(more["k_"]) & (boxed["text_hash"] == more["h_"]), "left")
+    t = F.col("t_")
+    every = F.concat(_by_start(base_spans(t)), F.coalesce("added", F.array().cast("array<struct<start:int,end:int,kind:int>>")))
+    new = F.when(t.isNotNull(), let(F.array_distinct(_by_start(every)), lambda a: F.when(F.size(a) == 0, t).otherwise(_blanked(t, a))))
     out = joined.select("row_", new.alias("new_"))
     return out.select(*[
         F.col("new_").alias(c) if c == text else F.length("new_").cast(docs.schema[c].dataType).alias(c) if c == size else F.col(f"row_.`{c}`").alias(c)
