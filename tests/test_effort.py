@@ -49,6 +49,15 @@ def test_weights_avoid_the_hub():
     assert x.shortest(1, [2], 11) == {1, 5}
 
 
+def test_tree_takes_the_cheaper_ways():
+    # two targets behind one dear hub, and each behind a cheaper way of its own
+    edges = [(1, 6), (6, 2), (6, 3), (6, 7), (1, 4), (4, 2), (1, 5), (5, 3)]
+    x = prefix(7, edges)
+    assert x.tree(1, [2, 3], 7) == {1, 4, 5}
+    assert x.tree(1, [1], 7) == {1} and x.tree(1, [], 7) == set()
+    assert effort_of(x, 3, 2, 1, 7, path="tree") >= 3
+
+
 def test_effort_counts_paths_neighbours_and_targets():
     x = prefix(5, [(1, 2), (2, 1), (2, 3), (3, 4), (1, 5)])
     # sources 1 and 2 reach both; paths are {1} and {2}; their neighbours are 2, 5 and 1, 3

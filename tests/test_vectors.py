@@ -104,6 +104,16 @@ def test_least_effort_reaches_its_target(spark, cloud):
     assert h > 9
 
 
+def test_moved_vectors_are_found_again(cloud):
+    x = cloud.copy()
+    h = search.Hierarchy(x, 6, 40)
+    for i in range(len(x)):
+        h.insert(i)
+    h.update(5, cloud[80] + 0.001)
+    assert 5 in [i for _, i in h.search(cloud[80], 3, 40).found]
+    assert all(len(ns) <= 12 and i not in ns for i, ns in h.layers[0].items())
+
+
 def test_workload_bins_keep_their_quota(spark):
     h = spark.createDataFrame([(i, (i * 37) % 101) for i in range(200)], "q_id long, me long")
     got = workload.stratified(h, "me", 20, 5, 3, 3)

@@ -65,5 +65,31 @@ def segment_means(a: Column, segments: int, order: list[int] | None = None) -> C
     return F.transform(F.sequence(F.lit(0), F.lit(segments - 1)), lambda s: _sum(F.slice(v, s * width + 1, width)) / width)
 
 
+def early_abandoned(a: Column, b: Column, threshold: Column | float, step: int = 32, eps: float = 2.1) -> Column:
+    """Squared distance, or the negative of its estimate once a prefix of the dimensions rules it out.
+
+    After i of D dimensions the estimate is the partial sum times D / i; a pair is given up when that exceeds
+    threshold * (1 + eps / sqrt(i)) ** 2, which is how far a random rotation lets a prefix stray.
+    """
+    gaps = F.zip_with(as_double(a), as_double(b), lambda x, y: (x - y) * (x - y))
+
+    def run(g: Column) -> Column:
+        n = F.size(g)
+        far = F.lit(threshold).cast("double") if not isinstance(threshold, Column) else threshold
+
+        def take(s: Column, i: Column) -> Column:
+            upto = F.least(i + step, n)
+            part = s["d"] + _sum(F.slice(g, i + 1, upto - i))
+            scaled = part * n / upto
+            out = (upto < n) & (scaled > far * F.pow(1 + eps / F.sqrt(upto.cast("double")), F.lit(2.0)))
+            new = F.struct(part.alias("d"), F.when(out, -scaled).alias("given_up"))
+            return F.when(s["given_up"].isNotNull(), s).otherwise(new)
+
+        start = F.struct(F.lit(0.0).alias("d"), F.lit(None).cast("double").alias("given_up"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(step)), start, take, lambda s: F.coalesce(s["given_up"], s["d"]))
+
+    return F.get(F.transform(F.array(gaps), run), F.lit(0))
+
+
 #: Distances by name: the extension point for further metrics.
 METRICS = {"l2": l2sq, "ip": ip_distance, "cosine": lambda a, b: F.lit(1.0) - cosine(a, b)}

@@ -111,6 +111,45 @@ class Prefix:
                     todo.append(v)
         return self._chains(targets, pred)
 
+    def distances(self, s: int, m: int) -> tuple[dict[int, int], dict[int, int]]:
+        """Cost to each rank that s reaches inside the first m, and the predecessors on the way."""
+        dist, pred, heap = {s: 0}, {}, [(0, s)]
+        while heap:
+            d, u = heapq.heappop(heap)
+            if d > dist[u]:
+                continue
+            for v in self.next[u - 1]:
+                c = d + self.degree(u)
+                if v <= m and c < dist.get(v, INF):
+                    dist[v], pred[v] = c, u
+                    heapq.heappush(heap, (c, v))
+        return dist, pred
+
+    def tree(self, s: int, targets: list[int], m: int) -> set[int]:
+        """Nodes of a two-level greedy tree from s to the targets.
+
+        Again and again the cheapest bunch a target is taken: a hub and its nearest uncovered targets, at the cost of
+        the way to the hub and from there to each.  Ties go to the lesser hub, then to the smaller bunch.
+        """
+        left, nodes = set(targets) - {s}, set()
+        from_s, to_hub = self.distances(s, m)
+        ways = {h: self.distances(h, m) for h in from_s}
+        while left:
+            best = None
+            for h in sorted(from_s):
+                near = sorted((d, t) for t in left if (d := ways[h][0].get(t)) is not None)
+                cost = from_s[h]
+                for n, (d, _) in enumerate(near, 1):
+                    cost += d
+                    if best is None or cost / n < best[0]:
+                        best = cost / n, h, [t for _, t in near[:n]]
+            if best is None:
+                break
+            _, h, got = best
+            nodes |= self._chains([h], to_hub) | self._chains(got, ways[h][1]) | ({h} if h != s else set())
+            left -= set(got)
+        return nodes | ({s} if targets else set())
+
     @staticmethod
     def _chains(targets: list[int], pred: dict[int, int]) -> set[int]:
         on: set[int] = set()
@@ -147,7 +186,7 @@ def k0_of(x: Prefix, k: int, r: int, p: int, beta: float) -> int | None:
 def effort_of(x: Prefix, k: int, r: int, p: int, m: int, path: str = "dijkstra", agg: str = "sum", expand: bool = True, overlap: bool = False) -> int:
     """Minimum effort inside the first m ranks.
 
-    path: dijkstra (node weights) or bfs.  agg: sum joins the paths of all sources; max takes the dearest source.
+    path: dijkstra (node weights), bfs, or tree (a greedy cover of all targets of a source at once).  agg: sum joins the paths of all sources; max takes the dearest source.
     expand: count the out-neighbours of path nodes too.  overlap: nodes paid for by earlier sources are free.
     """
     m = min(m, len(x.ids))
@@ -158,7 +197,7 @@ def effort_of(x: Prefix, k: int, r: int, p: int, m: int, path: str = "dijkstra",
     total: set[int] = set()
     worst = 0
     for s, ts in pairs:
-        nodes = x.shortest(s, ts, m) if path == "bfs" else x.cheapest(s, ts, m, free=total if overlap else None)
+        nodes = x.shortest(s, ts, m) if path == "bfs" else x.tree(s, ts, m) if path == "tree" else x.cheapest(s, ts, m, free=total if overlap else None)
         if agg == "max":
             own = {x.ids[t - 1] for t in ts} if path == "bfs" else targets
             worst = max(worst, len((x.expanded(nodes) if expand else {x.ids[n - 1] for n in nodes}) | own))

@@ -159,6 +159,37 @@ class Hierarchy:
         if level > top:
             self.entry = i
 
+    def update(self, i: int, vector: np.ndarray) -> None:
+        """Move vector i: its neighbours choose anew among the two-hop surroundings, and i is linked where it now lies."""
+        self.x[i] = vector
+        for lv, nbrs in enumerate(self.layers):
+            if i not in nbrs or len(nbrs) == 1:
+                continue
+            cap = 2 * self.m if lv == 0 else self.m
+            near = set(nbrs[i])
+            pool = near.union({i}, *[nbrs[j] for j in near])
+            for j in sorted(near):
+                others = sorted(pool - {j})
+                d = ((self.x[others] - self.x[j]) ** 2).sum(axis=1).tolist()
+                nbrs[j] = self.choose(sorted(zip(d, others, strict=True))[: self.ef], cap)
+        top = len(self.layers) - 1
+        level = max(lv for lv, nbrs in enumerate(self.layers) if i in nbrs)
+        at, _, _ = self.descend(vector, self.entry, top, level)
+        for lv in range(level, -1, -1):
+            found = [n for n in beam(self._graph(lv), vector, at, self.ef).found if n[1] != i]
+            if not found:
+                continue
+            cap = 2 * self.m if lv == 0 else self.m
+            self.layers[lv][i] = self.choose(found, cap)
+            for j in self.layers[lv][i]:
+                back = self.layers[lv][j]
+                if i not in back:
+                    back.append(i)
+                    if len(back) > cap:
+                        d = ((self.x[back] - self.x[j]) ** 2).sum(axis=1).tolist()
+                        self.layers[lv][j] = self.choose(sorted(zip(d, back, strict=True)), cap)
+            at = found[0][1]
+
     def search(self, q: np.ndarray, k: int, ef: int) -> Found:
         at, ndc, hops = self.descend(q, self.entry, len(self.layers) - 1, 0)
         f = beam(self._graph(0), q, at, max(ef, k))

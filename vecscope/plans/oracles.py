@@ -124,6 +124,11 @@ ORACLES: dict[str, str] = {
     "inner_product": f"{NEAR} SELECT q_id, id, round({ip('a', 'b')}, 6) AS value FROM p",
     "ip_distance": f"{NEAR} SELECT q_id, id, round(1 - {ip('a', 'b')}, 6) AS value FROM p",
     "cosine": f"{NEAR} SELECT q_id, id, round({ip('a', 'b')} / (sqrt({ip('a', 'a')}) * sqrt({ip('b', 'b')})), 6) AS value FROM p",
+    "early_abandoned": f"""WITH {BASE}, {gt(40)}, t AS (SELECT q_id, d AS far FROM gt WHERE rank = 5),
+g AS (SELECT q_id, id, far, d, list_transform(list_zip(query.v, base.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])) AS g FROM gt JOIN base USING (id) JOIN query USING (q_id) JOIN t USING (q_id)),
+p AS (SELECT q_id, id, far, d, i, list_sum(g[1 : i]) * 64 / i AS e FROM (SELECT *, unnest([16, 32, 48]) AS i FROM g)),
+o AS (SELECT q_id, id, any_value(d) AS d, arg_min(e, i) FILTER (e > far * (1 + 0.2 / sqrt(i)) ** 2) AS e FROM p GROUP BY q_id, id)
+SELECT q_id, id, round(CASE WHEN e IS NULL THEN d ELSE -e END, 6) AS value FROM o""",
     "norms": f"WITH {EVERY} SELECT vec_id, round({ip('v', 'v')}, 6) AS norm2 FROM every",
     "normalized": f"WITH {EVERY}, n AS (SELECT vec_id, v, sqrt({ip('v', 'v')}) AS n FROM every) SELECT vec_id, unnest(range(len(v))) AS i, round(unnest(v) / CASE WHEN n = 0 THEN 1e-10 ELSE n END, 6) AS x FROM n",
     "segment_means": f"WITH {EVERY}, i AS (SELECT vec_id, v, unnest(range(8)) AS i FROM every) SELECT vec_id, i, round(list_avg(v[i * 8 + 1 : i * 8 + 8]), 6) AS x FROM i",

@@ -116,6 +116,14 @@ def cosine(s, d):
     return _pair_values(s, d, V.cosine(F.col("qv"), F.col("v")))
 
 
+@query
+def early_abandoned(s, d):
+    b, q, gt = _gt(s, d, 40)
+    far = gt.where("rank = 5").select("q_id", F.col("dist").alias("far"))
+    rows = knn.gather(gt, b).join(q.select("q_id", F.col("v").alias("qv")), "q_id").join(far, "q_id")
+    return rows.select("q_id", "id", r6(V.early_abandoned(F.col("qv"), F.col("v"), F.col("far"), 16, 0.2), "value"))
+
+
 @query
 def norms(s, d):
     return embeddings(s, d).select("vec_id", r6(V.norm2(F.col("v")), "norm2"))
@@ -336,6 +344,12 @@ def me_overlap(s, d):
     return effort.hardness(gt, e, K, R, P, overlap=True)
 
 
+@query
+def me_tree(s, d):
+    _, _, gt, e = _all(s, d)
+    return effort.hardness(gt, e, K, R, P, path="tree")
+
+
 @query
 def me_unbounded(s, d):
     _, _, gt, e = _all(s, d)
