@@ -93,19 +93,22 @@ def log_ratios(labelled: DataFrame, every: DataFrame) -> DataFrame:
     """
     tail = lambda n: F.substring("gram", ORDER + 1 - n, n + 1)  # noqa: E731  a character and n before it
     head = lambda n: F.substring("gram", ORDER + 1 - n, n)  # noqa: E731  those n alone
-    keyed = F.array(*[F.concat(F.lit("g"), tail(n)) for n in range(ORDER + 1)], *[F.concat(F.lit("c"), head(n)) for n in range(ORDER + 1)])
+    keyed = F.array(*[F.concat(F.lit("g"), tail(n)) for n in range(ORDER + 1)], *[F.concat(F.lit("c"), head(n)) for n in range(1, ORDER + 1)])
     slot = F.posexplode(keyed).alias("slot", "key")
     counts = labelled.select(slot, "good", "bad").groupBy("key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    found = every.select("gram", slot).join(counts, "key")
+    few = counts.count() <= BROADCAST_ROWS
+    found = every.select("gram", slot).join(F.broadcast(counts) if few else counts, "key")
+    all_of = dict(zip(("good", "bad"), labelled.agg(F.coalesce(F.sum("good"), F.lit(0)), F.coalesce(F.sum("bad"), F.lit(0))).first(), strict=True))
     pick = lambda c, k: F.coalesce(F.max(F.when(F.col("slot") == k, F.col(c))), F.lit(0)).alias(f"{c}{k}")
-    wide = found.groupBy("gram").agg(*[pick(c, k) for c in ("good", "bad") for k in range(2 * ORDER + 2)])
-    # the loop below builds one expression; no data is touched
+    wide = found.groupBy("gram").agg(*[pick(c, k) for c in ("good", "bad") for k in range(2 * ORDER + 1)])
+    # a gram of characters that no training URL has is found nowhere, and has the base chance
+    wide = every.join(wide, "gram", "left").na.fill(0)
     logs = {}
     for c in ("good", "bad"):
-        p = (F.col(f"{c}0") + 0.5) / (F.col(f"{c}{ORDER + 1}") + 0.5 * ALPHABET)
+        p = (F.col(f"{c}0") + 0.5) / F.lit(all_of[c] + 0.5 * ALPHABET)
         for n in range(1, ORDER + 1):
             wide = wide.withColumn(f"p_{c}{n - 1}", p)
-            lower, seen = F.col(f"p_{c}{n - 1}"), F.col(f"{c}{ORDER + 1 + n}")
+            lower, seen = F.col(f"p_{c}{n - 1}"), F.col(f"{c}{ORDER + n}")
             p = F.when(seen >= LEAST, (F.col(f"{c}{n}") + MIX * lower) / (seen + MIX)).otherwise(lower)
         logs[c] = F.log(p)
     return wide.select("gram", (logs["good"] - logs["bad"]).alias("ratio"))
