@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import url_filter as uf
 from .quality_rules import RULES, STOP_WORDS
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))
@@ -98,4 +99,59 @@ hits AS (SELECT docs.doc_id, sets.doc_id AS item_id, count(*) AS c FROM docs JOI
 SELECT doc_id, item_id, CAST(c AS BIGINT) AS n_shared, CAST(n AS BIGINT) AS n_item FROM hits JOIN size USING (item_id) WHERE 100 * c >= 80 * n
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_decontamination": OP4, "op8_near_dedup": OP8}
+
+
+def _url_rules(field: str) -> str:
+    """The longest URL rule that fits, as its text or its verdict."""
+    cases = [
+        f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'"
+        for r in sorted(uf.RULES, key=lambda r: -len(r.text))
+    ]
+    return f"CASE {' '.join(cases)} END"
+
+
+def _url_models() -> str:
+    """CTEs from `parts` (gram, key columns) to `ratios`: both models at every order."""
+    n = uf.ORDER
+    keys = [f"'g' || substr(gram, {n + 1 - k}, {k + 1})" for k in range(n + 1)] + [f"'c' || substr(gram, {n + 1 - k}, {k})" for k in range(1, n + 1)]
+    joins = " ".join(f"LEFT JOIN counts k{i} ON k{i}.key = {key}" for i, key in enumerate(keys))
+    columns = ", ".join(f"coalesce(k{i}.{c}, 0) AS {c}{i}" for c in ("good", "bad") for i in range(len(keys)))
+    steps = []
+    for k in range(1, n + 1):
+        new = ", ".join(f"CASE WHEN {c}{n + k} >= {uf.LEAST} THEN ({c}{k} + {uf.MIX} * p_{c}) / ({c}{n + k} + {uf.MIX}) ELSE p_{c} END AS p_{c}" for c in ("good", "bad"))
+        steps.append(f"o{k} AS (SELECT * EXCLUDE (p_good, p_bad), {new} FROM o{k - 1})")
+    first = ", ".join(f"({c}0 + 0.5) / (total.{c} + {0.5 * uf.ALPHABET}) AS p_{c}" for c in ("good", "bad"))
+    return f"""counts AS (SELECT key, sum(good) AS good, sum(bad) AS bad FROM (SELECT unnest([{", ".join(keys)}]) AS key, good, bad FROM learnt) GROUP BY key),
+total AS (SELECT sum(good) AS good, sum(bad) AS bad FROM learnt),
+wide AS (SELECT gram, {columns} FROM (SELECT DISTINCT gram FROM grams) {joins}),
+o0 AS (SELECT wide.*, {first} FROM wide, total), {", ".join(steps)},
+ratios AS (SELECT gram, CAST(round((ln(p_good) - ln(p_bad)) * 1e9) AS BIGINT) AS ratio FROM o{n})"""
+
+
+OP5 = f"""
+WITH rest AS (SELECT page_id, url, count(*) AS copies, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages GROUP BY page_id, url),
+hp AS (SELECT page_id, url, copies, translate(regexp_extract(rest, '^[^/?#]*'), '{uf.UPPER}', '{uf.LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rest),
+d AS MATERIALIZED (SELECT *, {_url_rules("text")} AS rule, {_url_rules("verdict")} AS ruled, host || path AS shown,
+  CAST('0x' || substr(md5(host || path), 1, 8) AS BIGINT) % {uf.FOLDS} AS fold FROM hp),
+grams AS MATERIALIZED (SELECT page_id, url, ruled, fold, substr(repeat(chr(2), {uf.ORDER}) || shown || chr(3), i, {uf.ORDER + 1}) AS gram
+  FROM (SELECT *, unnest(range(1, length(shown) + 2)) AS i FROM d)),
+learnt AS (SELECT gram, count(*) FILTER (ruled = 'allow') AS good, count(*) FILTER (ruled = 'block') AS bad FROM grams WHERE ruled IS NOT NULL AND fold <> 0 GROUP BY gram),
+{_url_models()},
+scored AS MATERIALIZED (SELECT d.*, s.score FROM d JOIN (SELECT page_id, url, sum(ratio) / count(*) / 1e9 AS score FROM grams JOIN ratios USING (gram) GROUP BY page_id, url) s USING (page_id, url)),
+bins AS (SELECT CAST(round(greatest(least(score, 10.0), -10.0) * 100) AS INTEGER) AS bin, sum(copies) FILTER (ruled = 'allow') AS good, sum(copies) FILTER (ruled = 'block') AS bad
+  FROM scored WHERE ruled IS NOT NULL AND fold = 0 GROUP BY 1),
+above AS (SELECT bin, coalesce(sum(good) OVER o, 0) / (SELECT sum(good) FROM bins) - coalesce(sum(bad) OVER o, 0) / (SELECT sum(bad) FROM bins) AS gain FROM bins WINDOW o AS (ORDER BY bin DESC)),
+cut AS (SELECT (bin - 0.5) / 100 AS cut FROM above ORDER BY round(gain, 12) DESC, abs((bin - 0.5) / 100), bin LIMIT 1)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, round(score, 6) AS score
+FROM (SELECT *, unnest(range(copies)) AS copy FROM scored), cut
+"""
+
+OP10 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes FROM pages),
+m AS (SELECT *, CASE WHEN payload_bytes >= 100 AND page_id <> min(page_id) OVER (PARTITION BY html) THEN min(page_id) OVER (PARTITION BY html) END AS refers_to FROM p)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM m
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_quality_rules": OP1, "op4_decontamination": OP4, "op5_url_filter": OP5, "op8_near_dedup": OP8, "op10_warc": OP10,
+}

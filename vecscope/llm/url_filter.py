@@ -67,6 +67,11 @@ def host_path(url: Column) -> tuple[Column, Column]:
     return F.translate(host, UPPER, LOWER), path
 
 
+def fold(shown: Column) -> Column:
+    """The fold of a URL, from its digest; fold 0 is kept from training."""
+    return F.conv(F.substring(F.md5(shown.cast("binary")), 1, 8), 16, 10).cast("long") % FOLDS
+
+
 def fits(rule: UrlRule, host: Column, path: Column) -> Column:
     return ((host == rule.host) | F.endswith(host, F.lit("." + rule.host))) & F.startswith(path, F.lit(rule.path))
 
@@ -128,7 +133,7 @@ def scores(pages: DataFrame, rules: tuple[UrlRule, ...], scratch: Scratch) -> Da
     rule, ruled = by_rule(rules, F.col("host"), F.col("path"))
     d = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies")).select("*", host.alias("host"), path.alias("path"))
     d = scratch.save(d.select("*", rule.alias("rule"), ruled.alias("ruled"), F.concat("host", "path").alias("shown")), "urls")
-    train = d.where(F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("shown"), F.lit(FOLDS)) != 0))
+    train = d.where(F.col("ruled").isNotNull() & (fold(F.col("shown")) != 0))
     every = scratch.save(
         d.select(F.explode(grams(F.col("shown"))).alias("gram")).groupBy("gram").count().select("gram"), "grams"
     )
@@ -147,7 +152,7 @@ def scores(pages: DataFrame, rules: tuple[UrlRule, ...], scratch: Scratch) -> Da
 
 def best_cut(scored: DataFrame) -> float:
     """The score that best separates the kept fold: its true less its false acceptance is largest, then nearest 0."""
-    held = scored.where(F.col("ruled").isNotNull() & (F.pmod(F.xxhash64("shown"), F.lit(FOLDS)) == 0))
+    held = scored.where(F.col("ruled").isNotNull() & (fold(F.col("shown")) == 0))
     # a histogram of bounded size comes to the driver
     bins = held.groupBy(F.round(F.greatest(F.least("score", F.lit(10.0)), F.lit(-10.0)) * 100).cast("int").alias("bin")).agg(
         F.sum(F.when(F.col("ruled") == "allow", F.col("copies")).otherwise(0)).alias("good"), F.sum(F.when(F.col("ruled") == "block", F.col("copies")).otherwise(0)).alias("bad")
