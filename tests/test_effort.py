@@ -58,6 +58,25 @@ def test_tree_takes_the_cheaper_ways():
     assert effort_of(x, 3, 2, 1, 7, path="tree") >= 3
 
 
+def test_flow_shares_an_edge_that_paths_would_pay_twice():
+    # 1 -> 4 -> {2, 3}: both flows meet in 4 and share the way to it; 5 and 6 offer single ways that cost more
+    x = prefix(9, [(1, 4), (4, 2), (4, 3), (1, 5), (5, 2), (5, 7), (5, 8), (5, 9), (1, 6), (6, 3), (6, 7), (6, 8), (6, 9)])
+    assert x.flow_tree(1, [2, 3], 9) == {1, 4}
+    assert x.flow_tree(1, [1], 9) == {1} and x.flow_tree(1, [], 9) == set()
+
+
+def reaches(x, nodes, s, m):
+    seen, todo = {s}, [s]
+    while todo:
+        u = todo.pop()
+        if u in nodes:
+            for v in x.next[u - 1]:
+                if v <= m and v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+    return seen
+
+
 def test_effort_counts_paths_neighbours_and_targets():
     x = prefix(5, [(1, 2), (2, 1), (2, 3), (3, 4), (1, 5)])
     # sources 1 and 2 reach both; paths are {1} and {2}; their neighbours are 2, 5 and 1, 3
@@ -102,3 +121,13 @@ def test_harder_targets_need_no_less(g, r, p):
     if d(r, p) < far:
         targets = {t for _, ts in x.sources(4, r, p, d(r, p)) for t in ts}
         assert effort_of(x, 4, r, p, d(r, p)) >= len(targets)
+
+
+@settings(max_examples=120, deadline=None)
+@given(graphs)
+def test_covers_reach_every_target(g):
+    x = prefix(*g)
+    for s in range(1, 4):
+        targets = [t for t in x.reach(s, 4, g[0])]
+        for cover in (x.cheapest, x.tree, x.flow_tree):
+            assert set(targets) <= reaches(x, cover(s, targets, g[0]), s, g[0]), cover

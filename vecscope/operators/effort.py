@@ -150,6 +150,73 @@ class Prefix:
             left -= set(got)
         return nodes | ({s} if targets else set())
 
+    def flow_tree(self, s: int, targets: list[int], m: int) -> set[int]:
+        """Nodes of a tree from s to the targets by simulated flow.
+
+        Every uncovered target sends one unit a second against the edges.  An edge fills up at the rate of the targets
+        behind its head and, once full, passes them on to its tail, unless a target would reach a node on two ways.
+        When the root is reached, its full edges become free, its targets are covered, and the rest starts again.
+        """
+        within = [u for u in range(1, m + 1)]
+        into: dict[int, list[int]] = {v: [] for v in within}
+        for u in within:
+            for v in dict.fromkeys(self.next[u - 1]):
+                if v <= m and v != u:
+                    into[v].append(u)
+        free: set[tuple[int, int]] = set()
+        nodes: set[int] = {s} if targets else set()
+        left = set(targets) - {s}
+        while left:
+            tree, covered = self._flood(s, left, into, free)
+            if not covered:
+                break
+            free |= tree
+            nodes |= {u for u, _ in tree}
+            left -= covered
+        return nodes
+
+    def _flood(self, s: int, left: set[int], into: dict[int, list[int]], free: set[tuple[int, int]]) -> tuple[set[tuple[int, int]], set[int]]:
+        """One run of the flow until s is reached: the full edges below it, and the targets it reaches."""
+        price = lambda u, v: 0 if (u, v) in free else self.degree(u)
+        behind = {t: {t} for t in left}  # targets behind each node that the flow has reached
+        volume = dict.fromkeys(left, 0.0)  # what each edge into a node has got so far
+        queue = {t: sorted((price(u, t), u) for u in into[t]) for t in left}
+        below: dict[int, list[int]] = {}
+        above: dict[int, list[int]] = {}
+        while True:
+            due = [((q[0][0] - volume[v]) / len(behind[v]), v) for v, q in queue.items() if q]
+            if not due:
+                return set(), set()
+            wait, v = min(due)
+            wait = max(wait, 0.0)
+            for x in volume:
+                volume[x] += wait * len(behind[x])
+            _, u = queue[v].pop(0)
+            up, todo = {u}, [u]
+            while todo:
+                for x in above.get(todo.pop(), ()):
+                    if x not in up:
+                        up.add(x)
+                        todo.append(x)
+            if v in up or any(behind.get(x, set()) & behind[v] for x in up):
+                continue
+            below.setdefault(u, []).append(v)
+            above.setdefault(v, []).append(u)
+            for x in up:
+                if x not in behind:
+                    behind[x], volume[x] = set(), 0.0
+                    queue[x] = sorted((price(y, x), y) for y in into[x])
+                behind[x] |= behind[v]
+            if s in up:
+                tree, todo = set(), [s]
+                while todo:
+                    a = todo.pop()
+                    for b in below.get(a, ()):
+                        if (a, b) not in tree:
+                            tree.add((a, b))
+                            todo.append(b)
+                return tree, set(behind[s])
+
     @staticmethod
     def _chains(targets: list[int], pred: dict[int, int]) -> set[int]:
         on: set[int] = set()
@@ -186,7 +253,8 @@ def k0_of(x: Prefix, k: int, r: int, p: int, beta: float) -> int | None:
 def effort_of(x: Prefix, k: int, r: int, p: int, m: int, path: str = "dijkstra", agg: str = "sum", expand: bool = True, overlap: bool = False) -> int:
     """Minimum effort inside the first m ranks.
 
-    path: dijkstra (node weights), bfs, or tree (a greedy cover of all targets of a source at once).  agg: sum joins the paths of all sources; max takes the dearest source.
+    path: dijkstra (node weights), bfs, or a cover of all targets of a source at
+    once: tree (greedy bunches) or flow (simulated flow).  agg: sum joins the paths of all sources; max takes the dearest source.
     expand: count the out-neighbours of path nodes too.  overlap: nodes paid for by earlier sources are free.
     """
     m = min(m, len(x.ids))
@@ -197,7 +265,10 @@ def effort_of(x: Prefix, k: int, r: int, p: int, m: int, path: str = "dijkstra",
     total: set[int] = set()
     worst = 0
     for s, ts in pairs:
-        nodes = x.shortest(s, ts, m) if path == "bfs" else x.tree(s, ts, m) if path == "tree" else x.cheapest(s, ts, m, free=total if overlap else None)
+        if path == "dijkstra":
+            nodes = x.cheapest(s, ts, m, free=total if overlap else None)
+        else:
+            nodes = {"bfs": x.shortest, "tree": x.tree, "flow": x.flow_tree}[path](s, ts, m)
         if agg == "max":
             own = {x.ids[t - 1] for t in ts} if path == "bfs" else targets
             worst = max(worst, len((x.expanded(nodes) if expand else {x.ids[n - 1] for n in nodes}) | own))

@@ -350,6 +350,12 @@ def me_tree(s, d):
     return effort.hardness(gt, e, K, R, P, path="tree")
 
 
+@query
+def me_flow(s, d):
+    _, _, gt, e = _all(s, d)
+    return effort.hardness(gt, e, K, R, P, path="flow")
+
+
 @query
 def me_unbounded(s, d):
     _, _, gt, e = _all(s, d)
