@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from .graphs import adjacency
 
 INF = math.inf
@@ -290,11 +291,15 @@ def unbounded_effort_of(x: Prefix, k: int, r: int, p: int) -> int:
 # -- over tables ----------------------------------------------------------------------------------------------------
 def prefixes(gt: DataFrame, edges: DataFrame, max_rank: int | None = None) -> DataFrame:
     """(q_id, ids, outs, total): one row for each query with its first ranks and their out-lists."""
-    g = gt.select("q_id", "rank", "id") if max_rank is None else gt.where(F.col("rank") <= max_rank).select("q_id", "rank", "id")
-    rows = g.join(adjacency(edges).withColumnRenamed("src", "id"), "id", "left")
-    packed = rows.groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id", F.coalesce("dsts", F.array().cast("array<bigint>")).alias("dsts")))).alias("p"))
     total = gt.groupBy("q_id").agg(F.max("rank").cast("long").alias("total"))
-    return packed.join(total, "q_id").select("q_id", F.transform("p", lambda x: x["id"]).alias("ids"), F.transform("p", lambda x: x["dsts"]).alias("outs"), "total")
+    g = gt if max_rank is None else gt.where(F.col("rank") <= max_rank)
+    g = g.select("q_id", "rank", "id").join(total, "q_id")
+    rows = g.join(adjacency(edges).withColumnRenamed("src", "id"), "id", "left")
+    # dealt by query once; the grouping below needs no further exchange
+    packed = spread(rows, "q_id").groupBy("q_id").agg(
+        F.sort_array(F.collect_list(F.struct("rank", "id", F.coalesce("dsts", F.array().cast("array<bigint>")).alias("dsts")))).alias("p"), F.max("total").alias("total")
+    )
+    return packed.select("q_id", F.transform("p", lambda x: x["id"]).alias("ids"), F.transform("p", lambda x: x["dsts"]).alias("outs"), "total")
 
 
 def _judged(rows: DataFrame, names: tuple[str, ...], judge: Callable[..., tuple[int | None, ...]], extra: tuple[str, ...] = ()) -> DataFrame:

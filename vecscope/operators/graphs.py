@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from . import knn
 
 METHODS = ("mrng", "ssg", "taumg")
@@ -52,7 +53,7 @@ def fold(dist: np.ndarray, vectors: np.ndarray, test: Callable, cap: int | None
 def prune(candidates: DataFrame, base: DataFrame, method: str = "mrng", alpha: float = 60.0, tau: float = 0.01, cap: int | None = None) -> DataFrame:
     """edges(src, pos, dst) from candidate edges (src, pos, dst, dist)."""
     c = candidates.where("src <> dst").join(base.select(F.col("vec_id").alias("dst"), F.col("v").cast("array<double>").alias("v")), "dst")
-    lists = c.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "v"))).alias("c"))
+    lists = spread(c, "src").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "v"))).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = occluded(method, alpha, tau)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from .knn import _vectors, top_k
 
 BROADCAST_BYTES = 1 << 30
@@ -246,7 +247,7 @@ def _over_queries(query: DataFrame, ids: np.ndarray, graph: Graph, seed: int, en
             cols = list(zip(*rows, strict=True)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
-    return query.select("q_id", F.col("v").cast("array<double>"), start, *extra).mapInArrow(run, schema)
+    return spread(query.select("q_id", F.col("v").cast("array<double>"), start, *extra), "q_id").mapInArrow(run, schema)
 
 
 def beam_search(
@@ -316,7 +317,8 @@ def ef_sweep(query: DataFrame, edges: DataFrame, base: DataFrame, gt: DataFrame,
 
 
 def least_ndc(query: DataFrame, edges: DataFrame, base: DataFrame, gt: DataFrame, k: int, targets: Sequence[float] = (0.9,), low: int | None = None, bound: int = 5000, seed: int = 1) -> DataFrame:
-    """(q_id, target, ef, ndc): the least beam that reaches each recall target, by bisection, and what it measured.
+    """(q_id, target, ef, ndc): the least beam that reaches each recall target, by doubling and bisection, and what it
+    measured.
 
     Widths that were tried serve all targets.  A target that the bound does not reach gets the bound's figures.
     """
@@ -332,7 +334,10 @@ def least_ndc(query: DataFrame, edges: DataFrame, base: DataFrame, gt: DataFrame
 
         for t in targets:
             need = count_target(t, k)
-            lo, hi = low or k, max(bound, low or k)
+            lo = low or k
+            hi, most = lo, max(lo, min(bound, len(ids)))  # a beam as wide as the graph sees all of it
+            while hi < most and at_width(hi)[0] < need:
+                lo, hi = hi + 1, min(2 * hi, most)
             while lo < hi:
                 mid = (lo + hi) // 2
                 lo, hi = (lo, mid) if at_width(mid)[0] >= need else (mid + 1, hi)

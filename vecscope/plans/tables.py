@@ -14,3 +14,13 @@ def base_query(spark: SparkSession, sf_dir: str, every: int = 10) -> tuple[DataF
     """Nine tenths of the vectors as base, every tenth as a query."""
     e = embeddings(spark, sf_dir)
     return e.where(F.col("vec_id") % every != 0), e.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("q_id"), "v")
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to as many tasks as a shuffle has, and at least one for each core.
+
+    For work that costs far more than its bytes suggest: a stated number of partitions is not coalesced at run time.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
