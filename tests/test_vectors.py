@@ -95,6 +95,26 @@ def test_search_in_shards(spark, cloud, monkeypatch):
     assert {(r["q_id"], r["rank"], r["id"]) for r in got.collect()} == {(r["q_id"], r["rank"], r["id"]) for r in gt.collect()}
 
 
+def test_large_sparse_graph_is_searched_whole(spark, cloud, monkeypatch):
+    b, q = vectors(spark, cloud), vectors(spark, cloud[:10] + 0.01, "q_id")
+    gt = knn.exact_knn(b, q, 5)
+    e = graphs.build_graph(b, "mrng", 12)
+    e = spark.createDataFrame([*e.select("src", "pos", "dst").collect(), (3, 99, 1000)], "src long, pos int, dst long")
+    gone = b.where("vec_id % 3 = 0")
+
+    def found():
+        frames = [
+            search.beam_search(q, e, b, 5, 10), search.beam_search(q, e, b, 5, 2, entry=7), search.beam_search(q, e, b, 5, 20, budget=30), search.beam_search(q, e, b, 5, 10, deleted=gone),
+            search.recall_at_budget(q, e, b, gt, 5, (20, 60)), search.ef_sweep(q, e, b, gt, 5, (5, 10)), search.least_ndc(q, e, b, gt, 5, (0.6, 1.0)), search.search_trace(q, e, b, 5, 8),
+        ]
+        return [sorted(tuple(r) for r in f.collect()) for f in frames]
+
+    want = found()
+    monkeypatch.setattr(search, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(search, "AHEAD", 2)
+    assert search.shards_needed(e, b) > 1 and all(want) and found() == want
+
+
 def test_least_effort_reaches_its_target(spark, cloud):
     b, q = vectors(spark, cloud), vectors(spark, cloud[:10] + 0.01, "q_id")
     gt, e = knn.exact_knn(b, q, 10), graphs.nsw_graph(b, 6, 40)

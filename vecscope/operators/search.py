@@ -1,8 +1,9 @@
 """Graph search with effort accounting: beam search, budgets, sweeps, and the least effort for a recall target.
 
 Search is sequential for a query and independent between queries: queries are partitioned, the graph and its vectors
-are sent to the executors as arrays below BROADCAST_BYTES, measured first.  A larger graph is cut into shards that are
-searched one by one, each a graph of its own, and their results are merged by distance; effort is summed.
+are sent to the executors as arrays below BROADCAST_BYTES, measured first.  A larger graph stays a table: each query
+searches the nodes it was given so far, asks for the ones it lacks, gets them by a join, and searches again.  That is
+the same search of the same whole graph, so results and effort do not depend on its size.
 
 One distance computation (NDC) is counted for each vector that is measured, the entry included.  The entry follows
 from the query's id and a seed unless it is given, so results are the same in every run.
@@ -21,9 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import spread
-from .knn import _vectors, top_k
+from .knn import _vectors
+from .stats import _cut
 
 BROADCAST_BYTES = 1 << 30
+AHEAD = 32
 
 
 @dataclass
@@ -212,7 +215,8 @@ def _load(edges: DataFrame, base: DataFrame, deleted: DataFrame | None) -> tuple
     ids = rows["vec_id"].to_numpy()
     x = _vectors(rows["v"].combine_chunks())
     e = edges.select(F.col("src").cast("long"), F.col("pos").cast("long"), F.col("dst").cast("long")).toArrow().sort_by([("src", "ascending"), ("pos", "ascending")])
-    src, dst = np.searchsorted(ids, e["src"].to_numpy()), np.searchsorted(ids, e["dst"].to_numpy())
+    known = np.isin(e["src"].to_numpy(), ids) & np.isin(e["dst"].to_numpy(), ids)
+    src, dst = np.searchsorted(ids, e["src"].to_numpy()[known]), np.searchsorted(ids, e["dst"].to_numpy()[known])
     cut = np.searchsorted(src, np.arange(len(ids) + 1))
     nbrs = [dst[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
     gone = set() if deleted is None else set(np.searchsorted(ids, [r[0] for r in deleted.select("vec_id").collect()]).tolist())
@@ -220,7 +224,7 @@ def _load(edges: DataFrame, base: DataFrame, deleted: DataFrame | None) -> tuple
 
 
 def shards_needed(edges: DataFrame, base: DataFrame) -> int:
-    """Shards so that the graph and the vectors of one fit the broadcast bound."""
+    """How many times the broadcast bound the graph and the vectors take; beyond once they stay tables."""
     size = (base.agg(F.sum(F.size("v"))).first()[0] or 0) * 8 + edges.count() * 16
     return max(1, -(-size // BROADCAST_BYTES))
 
@@ -250,12 +254,141 @@ def _over_queries(query: DataFrame, ids: np.ndarray, graph: Graph, seed: int, en
     return spread(query.select("q_id", F.col("v").cast("array<double>"), start, *extra), "q_id").mapInArrow(run, schema)
 
 
+class _Missing(Exception):
+    """Nodes that a search needs and was not given."""
+
+
+class _Part:
+    """The nodes that one query was given, by id; what it lacks is raised, with the surroundings of the nearest ones."""
+
+    size = 1 << 63
+
+    def __init__(self, known: pa.Table, ahead: int):
+        ids = known["node"].to_pylist()
+        self.x = dict(zip(ids, map(np.array, known["v"].to_pylist()), strict=True))
+        self.nbrs = dict(zip(ids, known["nbrs"].to_pylist(), strict=True))
+        self.deleted = {i for i, gone in zip(ids, known["gone"].to_pylist(), strict=True) if gone}
+        self.ahead, self.measured = ahead, {}
+
+    def dist(self, q: np.ndarray, ids: Sequence[int]) -> np.ndarray:
+        lack = {i for i in ids if i not in self.x}
+        if lack:
+            near = heapq.nsmallest(self.ahead, self.measured, key=self.measured.get)
+            raise _Missing(lack.union(*[[i for i in self.nbrs[u] if i not in self.x] for u in near]))
+        d = np.stack([self.x[i] for i in ids]) - q
+        out = (d * d).sum(axis=1)
+        self.measured.update(zip(ids, out.tolist(), strict=True))
+        return out
+
+
+class _Same:
+    """Ids of a graph whose nodes are known by their ids."""
+
+    def __init__(self, n: int):
+        self.n = n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> int:
+        return i
+
+
+def _nodes(edges: DataFrame, base: DataFrame, deleted: DataFrame | None) -> DataFrame:
+    """(node, v, nbrs, gone) for every base vector."""
+    x = base.select(F.col("vec_id").cast("long").alias("node"), F.col("v").cast("array<double>").alias("v"))
+    e = edges.select(F.col("src").cast("long").alias("node"), F.col("pos").cast("long"), F.col("dst").cast("long")).join(x.select(F.col("node").alias("dst")), "dst", "left_semi")
+    lists = e.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "dst"))).alias("l")).select("node", F.transform("l", lambda p: p["dst"]).alias("nbrs"))
+    out = x.join(lists, "node", "left").withColumn("nbrs", F.coalesce("nbrs", F.array().cast("array<long>")))
+    if deleted is None:
+        return out.withColumn("gone", F.lit(False))
+    gone = deleted.select(F.col("vec_id").cast("long").alias("node")).distinct().withColumn("gone", F.lit(True))
+    return out.join(gone, "node", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+
+
+def _at_positions(rows: DataFrame, nodes: DataFrame) -> tuple[DataFrame, int]:
+    """rows with start_ as an id instead of a hash that is taken modulo the number of nodes; and that number."""
+    placed = _cut(nodes.select("node").orderBy("node").select("node", F.monotonically_increasing_id().alias("at_")))
+    # the id holds the partition above 33 bits of the row in it
+    sizes = sorted(placed.groupBy(F.shiftright("at_", 33).alias("part_")).count().collect())
+    starts = np.cumsum([0, *[c for _, c in sizes]]).tolist()
+    table = nodes.sparkSession.createDataFrame([(p, s) for (p, _), s in zip(sizes, starts[:-1], strict=True)], "part_ long, first_ long")
+    at = placed.withColumn("part_", F.shiftright("at_", 33)).join(F.broadcast(table), "part_")
+    at = at.select(F.col("node").alias("entry_"), (F.col("first_") + F.col("at_") % (1 << 33)).alias("start_"))
+    rows = rows.withColumn("start_", F.pmod("start_", F.lit(starts[-1])))
+    return rows.join(at, "start_").withColumn("start_", F.col("entry_")).drop("entry_"), starts[-1]
+
+
+def _in_rounds(query: DataFrame, nodes: DataFrame, seed: int, entry: int | None, schema: str, judge) -> DataFrame:
+    """What _over_queries gives, over a table of nodes: in each round every open query gets the nodes it asked for.
+
+    The look ahead doubles, so rounds grow with the length of a path through the graph, not with the nodes expanded.
+    """
+    spark = query.sparkSession
+    names = [c.split(" ")[0] for c in schema.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    target = pa.schema([(c.split(" ")[0], kinds[c.split(" ")[1]]) for c in f"{schema}, want_ long".split(", ")])
+    extra = [c for c in query.columns if c not in ("q_id", "v")]
+    first = F.xxhash64(F.lit(seed), "q_id")
+    if entry is not None:  # the id itself, or the next one
+        first = F.lit(nodes.where(F.col("node") >= entry).agg(F.min("node")).first()[0]).cast("long")
+    rows = query.select(F.col("q_id").cast("long").alias("q_id"), F.col("v").cast("array<double>").alias("v"), first.alias("start_"), *extra)
+    rows, n = _at_positions(rows, nodes) if entry is None else (rows, nodes.count())
+    rows = _cut(rows.select("q_id", "v", "start_", *extra))
+    known = spark.createDataFrame([], "q_id long, node long, v array<double>, nbrs array<long>, gone boolean")
+
+    def search(ahead: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            out, lack = [], set()
+            more = [left[c].to_pylist() for c in extra]
+            for i, (q, v, at) in enumerate(zip(left["q_id"].to_pylist(), left["v"].to_pylist(), left["start_"].to_pylist(), strict=True)):
+                try:
+                    out += [(*r, None) for r in judge(_Same(n), _Part(right, ahead), q, np.array(v), at, *[m[i] for m in more])]
+                except _Missing as e:
+                    lack |= e.args[0]
+            if lack:  # rows of one id are answered together
+                out = [(left["q_id"][0].as_py(), *[None] * (len(names) - 1), i) for i in sorted(lack)]
+            cols = list(zip(*out, strict=True)) or [()] * len(target)
+            return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target, strict=True)], schema=target)
+
+        return run
+
+    done, ahead = None, AHEAD
+    while True:
+        met = spread(rows, "q_id").groupBy("q_id").cogroup(spread(known, "q_id").groupBy("q_id"))
+        got = _cut(met.applyInArrow(search(ahead), f"{schema}, want_ long"))
+        part = got.where("want_ IS NULL").select(*names)
+        done = part if done is None else done.union(part)
+        asked = got.where("want_ IS NOT NULL").select("q_id", F.col("want_").alias("node"))
+        if asked.isEmpty():
+            return done
+        still = asked.select(F.col("q_id").alias("still_")).distinct()
+        rows = rows.join(still, F.col("q_id").eqNullSafe(F.col("still_")), "left_semi")
+        known = known.join(still, F.col("q_id").eqNullSafe(F.col("still_")), "left_semi").union(asked.join(nodes, "node").select("q_id", "node", "v", "nbrs", "gone"))
+        rows, known, ahead = _cut(rows), _cut(known), 2 * ahead
+
+
+def _search(query: DataFrame, edges: DataFrame, base: DataFrame, deleted: DataFrame | None, seed: int, entry: int | None, schema: str, judge) -> DataFrame:
+    """judge() for each query on the whole graph, sent to the executors or, if it is larger than the bound, as a table."""
+    held = edges.is_cached
+    edges = edges if held else edges.persist()  # measured, then read
+    try:
+        if shards_needed(edges, base) > 1:
+            nodes = _cut(_nodes(edges, base, deleted))
+        else:
+            ids, graph = _load(edges, base, deleted)
+            return _over_queries(query, ids, graph, seed, entry, schema, judge)
+    finally:
+        if not held:
+            edges.unpersist()
+    return _in_rounds(query, nodes, seed, entry, schema, judge)
+
+
 def beam_search(
     query: DataFrame, edges: DataFrame, base: DataFrame, k: int, ef: int, budget: int | None = None, seed: int = 1, entry: int | None = None,
     expansions: int | None = None, deleted: DataFrame | None = None,
 ) -> DataFrame:
     """(q_id, rank, id, dist, ndc, hops): the k nearest that a beam of ef finds.  ef under k searches by steps."""
-    n = shards_needed(edges, base)
     width = max(ef, k)
     steps = ef + 1 if ef < k and expansions is None else expansions
 
@@ -263,18 +396,7 @@ def beam_search(
         f = beam(graph, v, at, width, budget, steps)
         return [(q, r + 1, int(ids[i]), d, f.ndc, f.hops) for r, (d, i) in enumerate(f.found[:k])]
 
-    schema = "q_id long, rank int, id long, dist double, ndc long, hops long"
-    out = None
-    for s in range(n):  # one round for a graph that fits; else one for each shard
-        b = base.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == s) if n > 1 else base
-        e = edges.join(b.select(F.col("vec_id").alias("src")), "src", "left_semi").join(b.select(F.col("vec_id").alias("dst")), "dst", "left_semi") if n > 1 else edges
-        ids, graph = _load(e, b, deleted)
-        part = _over_queries(query, ids, graph, seed, entry, schema, judge)
-        out = part if out is None else out.union(part)
-    if n == 1:
-        return out
-    effort = out.where("rank = 1").groupBy("q_id").agg(F.sum("ndc").alias("ndc"), F.sum("hops").alias("hops"))
-    return top_k(out.select("q_id", "id", "dist"), k).join(effort, "q_id")
+    return _search(query, edges, base, deleted, seed, entry, "q_id long, rank int, id long, dist double, ndc long, hops long", judge)
 
 
 def recall(result: DataFrame, gt: DataFrame, k: int) -> DataFrame:
@@ -298,8 +420,7 @@ def recall_at_budget(query: DataFrame, edges: DataFrame, base: DataFrame, gt: Da
             f = beam(graph, v, at, max(k, ef), b)
             yield q, b, sum(int(ids[i]) in true for _, i in f.found[:k]), f.ndc
 
-    ids, graph = _load(edges, base, None)
-    return _over_queries(_with_truth(query, gt, k), ids, graph, seed, None, "q_id long, budget long, hits long, ndc long", judge)
+    return _search(_with_truth(query, gt, k), edges, base, None, seed, None, "q_id long, budget long, hits long, ndc long", judge)
 
 
 def ef_sweep(query: DataFrame, edges: DataFrame, base: DataFrame, gt: DataFrame, k: int, efs: Sequence[int] = (10, 20, 40, 80), seed: int = 1) -> DataFrame:
@@ -311,8 +432,7 @@ def ef_sweep(query: DataFrame, edges: DataFrame, base: DataFrame, gt: DataFrame,
             f = beam(graph, v, at, max(k, ef))
             yield q, ef, sum(int(ids[i]) in true for _, i in f.found[:k]), f.ndc, f.hops
 
-    ids, graph = _load(edges, base, None)
-    rows = _over_queries(_with_truth(query, gt, k), ids, graph, seed, None, "q_id long, ef int, hits long, ndc long, hops long", judge)
+    rows = _search(_with_truth(query, gt, k), edges, base, None, seed, None, "q_id long, ef int, hits long, ndc long, hops long", judge)
     return rows.groupBy("ef").agg((F.avg("hits") / k).alias("recall"), F.avg("ndc").alias("ndc"), F.avg("hops").alias("hops"))
 
 
@@ -343,8 +463,7 @@ def least_ndc(query: DataFrame, edges: DataFrame, base: DataFrame, gt: DataFrame
                 lo, hi = (lo, mid) if at_width(mid)[0] >= need else (mid + 1, hi)
             yield q, t, lo, at_width(lo)[1]
 
-    ids, graph = _load(edges, base, None)
-    return _over_queries(_with_truth(query, gt, k), ids, graph, seed, None, "q_id long, target double, ef int, ndc long", judge)
+    return _search(_with_truth(query, gt, k), edges, base, None, seed, None, "q_id long, target double, ef int, ndc long", judge)
 
 
 def search_trace(query: DataFrame, edges: DataFrame, base: DataFrame, k: int, ef: int, seed: int = 1) -> DataFrame:
@@ -354,12 +473,14 @@ def search_trace(query: DataFrame, edges: DataFrame, base: DataFrame, k: int, ef
         for h, (u, d) in enumerate(beam(graph, v, at, max(ef, k), trace=True).trace):
             yield q, h, int(ids[u]), d
 
-    ids, graph = _load(edges, base, None)
-    return _over_queries(query, ids, graph, seed, None, "q_id long, hop int, id long, bound double", judge)
+    return _search(query, edges, base, None, seed, None, "q_id long, hop int, id long, bound double", judge)
 
 
 def hnsw_search(query: DataFrame, base: DataFrame, k: int, ef: int, m: int = 8, ef_build: int = 64, seed: int = 3) -> DataFrame:
-    """(q_id, rank, id, dist, ndc, hops) by descent through the layers, then a beam on the lowest."""
+    """(q_id, rank, id, dist, ndc, hops) by descent through the layers, then a beam on the lowest.
+
+    Insertion is sequential: the whole base is sent to every executor at any size, and must fit there.
+    """
     ids, graph = _load(base.select(F.col("vec_id").alias("src"), F.lit(0).alias("pos"), F.col("vec_id").alias("dst")).limit(0), base, None)
 
     def judge(ids, graph, q, v, at):
