@@ -64,3 +64,11 @@ def test_held_out_accuracy(spark, sf):
 
     j = queries()["op9_quality_fm"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (j.predicted == j.quality).mean() > 0.95 and (j[j.quality == 1].predicted == 1).all()
+
+
+def test_share_of_capitals_reads_the_whole_text():
+    f = q.Featurizer()
+    for size in (100, 4096, 5000, 8191, 8192, 8193, 50_000):
+        for text in ("A" * size, "aB" * (size // 2), "a" * (size - 1) + "A", "A" + "é" * size):
+            raw = text.encode()
+            assert f(text, None)[1][5] == sum(65 <= c <= 90 for c in raw) / len(raw)

@@ -31,6 +31,7 @@ STATS = 12
 SAMPLE = 6000
 FACTORS = 8
 WORDS_KEPT = 500_000
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 class _Slots(dict):
@@ -59,7 +60,7 @@ class Featurizer:
             sum(map(len, words)) / n / 10,
             min(3.0, sum(map(low.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">"))) / n),
             min(3.0, low.count(b"!") / n),
-            sum(a != b for a, b in zip(raw[:: max(1, size // 4096)], low[:: max(1, size // 4096)])) / min(size, 4096),
+            (len(raw) - len(raw.translate(None, CAPITALS))) / size,
             1 - len(set(lines)) / max(1, len(lines)),
             len(set(words)) / n,
             min(1.0, sum(map(low.count, (b"0", b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9"))) / size * 5),
