@@ -72,6 +72,28 @@ def test_contexts_discover_what_base_misses(docs):
     assert got[3] == (1, 0, "phone:26:38")
 
 
+def test_more_unseen_than_seeds_are_discovered(docs):
+    rows = [(i, f"tel: +1202555{1000 + i}") for i in range(20)] + [(100 + i, f"tel: 202555{2000 + i}") for i in range(60)]
+    got = {r["doc_id"]: r["n_added"] for r in pii.find(docs(rows)).collect()}
+    assert all(got[100 + i] == 1 for i in range(60))
+
+
+def test_seeds_of_another_kind_count_against_a_pattern(docs):
+    rows = [(i, f"node: +1202555{1000 + i}") for i in range(5)] + [(20 + i, f"node: 192.168.10.{100 + i}") for i in range(5)] + [(90, "node: 2025559999")]
+    assert {r["doc_id"]: r["n_added"] for r in pii.find(docs(rows)).collect()}[90] == 0
+
+
+def test_confidence_passes_between_patterns(spark):
+    from vecscope.llm.common import Scratch
+
+    strong = [(3, f"+{i}", True, ["tel:"]) for i in range(99)]
+    weak = [(3, f"+{i}", True, ["desk a"]) for i in range(200, 203)] + [(1, f"10.20.30.{i}", True, ["desk a"]) for i in range(10, 16)]
+    both = [(3, f"55{i}", False, ["tel:", "desk a"]) for i in range(1000, 1090)] + [(3, f"66{i}", False, ["desk a"]) for i in range(1000, 1100)]
+    rows = spark.createDataFrame(strong + weak + both, "kind int, found string, seed boolean, patterns array<string>")
+    got = {r["pattern"]: r["confidence"] for r in pii.pattern_scores(rows, Scratch(spark, "t")).where("kind = 3").collect()}
+    assert abs(got["tel:"] - 0.99) < 1e-9 and abs(got["desk a"] - (3 + 90 * 0.99) / (3 + 6 + 1 + 90)) < 1e-9
+
+
 def test_copies_do_not_raise_confidence(docs):
     rows = [(i, "Please reach the desk at: +12025551000 today") for i in range(20)] + [(90, "Please reach the desk at: 2025559999 today")]
     assert {r["doc_id"]: r["n_added"] for r in pii.find(docs(rows)).collect()}[90] == 0

@@ -2,9 +2,10 @@
 
 1.  One scan finds the base spans of each kind (email, ip, card, phone) and looser candidates of the same kinds, each
     with its lexical pattern: the two words to its left, or one that ends in a colon, an equals or a number sign.
-2.  Base spans are seeds.  Patterns and instances form a graph; in each round a pattern's confidence is the mean
-    score of the distinct instances it stands before, damped by one unseen instance, and an instance's score is the
-    best confidence of its supported patterns (seeds keep 1).
+2.  Base spans are seeds.  Patterns and instances form a graph.  A pattern's confidence is the mean score of the
+    distinct instances it stands before, damped by one of score 0; an instance's score is the best confidence of its
+    supported patterns, seeds have 1, and seeds of other kinds that have the looser shape of this one have 0.  Scores
+    are the fixed point of that: a pattern alone has seeds / (seeds + others + 1), however many instances are unseen.
 3.  Candidates behind a pattern of high confidence, backed by several distinct seeds, become spans as well.
 
 Copies of a text don't raise a pattern's confidence, as instances count once.
@@ -55,7 +56,7 @@ LOOSE_GUARD = {
     "card": lambda t: t.rlike(r"[0-9](?:[ ./-]?[0-9]){11}"),
     "phone": lambda t: t.rlike(r"[0-9](?:[ ().-]{0,2}[0-9]){6}"),
 }
-ROUNDS = 3
+SETTLED = 1e-9
 LEAST_SEEDS = 3
 LEAST_CONFIDENCE = 0.7
 LEFT = 64
@@ -174,21 +175,36 @@ def scan(docs: DataFrame, carry: list[Column], text: Column) -> DataFrame:
     return d.select(*keep, F.xxhash64("t_").alias("text_hash"), seen.alias("seen"))
 
 
-def pattern_scores(seen: DataFrame, scratch: Scratch, rounds: int = ROUNDS, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """(kind, pattern, confidence, seeds) from rows (kind, found, seed, patterns), scored on the graph in rounds."""
+def pattern_scores(seen: DataFrame, scratch: Scratch, least_seeds: int = LEAST_SEEDS) -> DataFrame:
+    """(kind, pattern, confidence, seeds) of supported patterns from rows (kind, found, seed, patterns).
+
+    Instances that a better pattern vouches for enter a pattern's mean with that one's confidence, the others with its
+    own, which solves for them at once.  Confidences rise to the fixed point and are iterated until none moves.
+    """
+    both = ["kind", "pattern"]
     edges = seen.select("kind", "found", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "found").agg(F.max("seed").alias("seed"))
-    edges = scratch.save(edges.withColumn("score", F.col("seed").cast("double")), "edges-0")
-    of_pattern = lambda e: e.groupBy("kind", "pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum(F.col("seed").cast("long")).alias("seeds"))
-    for r in range(1, rounds):
-        best = (
-            edges.join(of_pattern(edges).where(F.col("seeds") >= least_seeds), ["kind", "pattern"])
-            .groupBy("kind", "found").agg(F.max("confidence").alias("best"))
-        )
-        scored = edges.join(best, ["kind", "found"], "left").select(
-            "kind", "pattern", "found", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("best", F.lit(0.0))).alias("score")
-        )
-        edges = scratch.save(scored, f"edges-{r}")
-    return of_pattern(edges)
+    edges = scratch.save(edges, "edges")
+    seeds = edges.where("seed").groupBy(*both).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
+    shapes = F.array_compact(F.array(*[F.when((F.col("kind") != i) & F.col("found").rlike(rf"^(?:{LOOSE[k]})\z"), F.lit(i)) for i, k in enumerate(KINDS)]))
+    others = edges.where("seed").select(F.explode(shapes).alias("kind"), "pattern", "found").distinct().groupBy(*both).agg(F.count("*").alias("others"))
+    known = seeds.join(others, both, "left").na.fill(0, ["others"]).withColumn("confidence", F.col("seeds") / (F.col("seeds") + F.col("others") + 1))
+    known = scratch.save(known.select(*both, "seeds", "others", "confidence"), "patterns-0")
+    unseen = edges.where(~F.col("seed")).join(known.select(*both), both, "left_semi").select(*both, "found")
+    # behind one pattern only, an instance has that pattern's confidence
+    several = unseen.groupBy("kind", "found").count().where("count > 1").select("kind", "found")
+    shared = scratch.save(unseen.join(several, ["kind", "found"], "left_semi"), "shared")
+    step = 0
+    while True:
+        scored = shared.join(known.select(*both, "confidence"), both)
+        best = scored.groupBy("kind", "found").agg(F.max("confidence").alias("best"))
+        lift = scored.join(best, ["kind", "found"]).where(F.col("best") > F.col("confidence")).groupBy(*both).agg(F.sum("best").alias("more"), F.count("*").alias("n"))
+        new = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("seeds") + F.col("others") + 1 + F.coalesce("n", F.lit(0)))
+        step += 1
+        moved = scratch.save(known.join(lift, both, "left").select(*both, "seeds", "others", new.alias("confidence"), F.col("confidence").alias("was")), f"patterns-{step}")
+        scratch.drop(f"patterns-{step - 1}")
+        known = moved.drop("was")
+        if moved.where(F.abs(F.col("confidence") - F.col("was")) > SETTLED).isEmpty():
+            return known.select(*both, "confidence", "seeds")
 
 
 def discovered(scanned: DataFrame, keys: list[str], scratch: Scratch, confidence: float = LEAST_CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
