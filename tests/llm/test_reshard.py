@@ -68,6 +68,25 @@ def test_only_affected_shards_are_rewritten(spark, docs, tmp_path):
     assert set(d.columns) <= set(back.columns)
 
 
+def test_nulls_and_repeated_ids_are_rewritten(spark, docs, tmp_path):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rows = [(i, "t" * (i % 40)) for i in range(300)] + [(None, None)] * 3 + [(None, "no id")] * 2 + [(7, "twice")] * 3 + [(7, None), (7, "")]
+    d = docs(rows)
+    d.withColumn("own_", F.monotonically_increasing_id()).write.parquet(str(tmp_path / "in"))
+    stored = spark.read.parquet(str(tmp_path / "in"))
+    for name, table, identity in (("plain", d, None), ("own", stored, "own_")):
+        placed = rs.reshard(table, 5, 3, identity=identity)
+        placed = spark.createDataFrame(placed.collect(), placed.schema)
+        done = rs.rewrite(table, placed, str(tmp_path / name), identity=identity)
+        back = spark.read.parquet(str(tmp_path / name)).collect()
+        assert done == [0, 1, 2, 3, 4] and Counter((r["doc_id"], r["text"]) for r in back) == Counter(rows)
+        want = Counter((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in placed.collect())
+        assert Counter((r["doc_id"], len(r["text"] or "") + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in back) == want
+
+
 def test_whole_table(spark, sf):
     from vecscope.llm.queries import queries
 

@@ -117,16 +117,19 @@ def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
-def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None) -> DataFrame:
+def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None, identity: str | None = None) -> DataFrame:
     """(key, size, text_crc32, old_shard, shard, slot) for every row.
 
     old: a column with the present shard of each row, 0 to old_shards - 1; by default a hash of the id.
+    identity: a column that is different in every row and stored with them; it is returned as well.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "reshard")
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     place = old if old is not None else F.pmod(F.xxhash64(docs[key]), F.lit(old_shards))
-    rows = scratch.save(docs.select(docs[key].alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("crc"), place.cast("int").alias("old")), "rows")
+    own = [docs[identity].alias("own")] if identity else []
+    rows = scratch.save(docs.select(docs[key].alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("crc"), place.cast("int").alias("old"), *own), "rows")
+    own = ["own"] if identity else []
     n = rows.count()
     per_class = max(1, min(BLOCKS // (old_shards * CLASSES), n // (old_shards * BLOCK_ROWS)))
     # large rows first: the class falls as the size grows
@@ -152,7 +155,7 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, k
         # a row goes where its middle lies
         .withColumn("at", F.col("start") + F.col("before") + F.col("size") / 2)
         .withColumn("shard", F.get("target", F.least(F.size(F.filter("upto", lambda u: u <= F.col("at"))), F.size("upto") - 1)))
-        .select("key", "size", "crc", "old", "block", "shard")
+        .select("key", "size", "crc", "old", "block", "shard", *own)
     )
     placed = scratch.save(placed, "placed")
     pieces = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).orderBy("shard", "old", "block").collect()
@@ -165,21 +168,34 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, k
     return (
         placed.withColumn("nth", F.row_number().over(number))
         .join(F.broadcast(offset_table), ["shard", "old", "block"])
-        .select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"))
+        .select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"), *[F.col(c).alias(identity) for c in own])
     )
 
 
-def rewrite(docs: DataFrame, placement: DataFrame, out: str, key: str = "doc_id", rows_per_file: int = 500_000) -> list[int]:
+def rewrite(docs: DataFrame, placement: DataFrame, out: str, key: str = "doc_id", rows_per_file: int = 500_000, text: str = "text", identity: str | None = None) -> list[int]:
     """Write the shards that gain or lose rows under `out`, one folder each, in slot order; the rest stay as they are.
 
-    The key identifies a row.  A shard is written by as many tasks as its rows ask for.  Input columns named shard,
-    slot or part_ are written with a trailing _in.
+    Each row takes one place: that of its identity, a column of both tables, or else, as rows of one id lie in one old
+    shard, one of the places of its id, size and checksum.  A shard is written by as many tasks as its rows ask for.
+    Input columns named shard, slot or part_ are written with a trailing _in.
     """
     moves = placement.where("old_shard <> shard").select(F.explode(F.array("old_shard", "shard")).alias("s")).distinct()
     affected = sorted(r["s"] for r in moves.collect())
     if affected:
-        where = placement.select(F.col(key).alias("key_"), "shard", "slot").where(F.col("shard").isin(affected))
-        kept = [docs[c].alias(f"{c}_in" if c in ("shard", "slot", "part_") else c) for c in docs.columns]
-        data = docs.join(where, docs[key] == where["key_"]).select(*kept, where["shard"], where["slot"], F.floor(where["slot"] / rows_per_file).alias("part_"))
+        kept = [F.col(c).alias(f"{c}_in" if c in ("shard", "slot", "part_") else c) for c in docs.columns]
+        if identity:
+            rows, match = docs.select(F.col(identity).alias("id__"), F.struct(*kept).alias("row__")), ["id__"]
+            where = placement.select(F.col(identity).alias("id__"), "shard", "slot")
+        else:
+            raw = F.coalesce(docs[text].cast("string"), F.lit(""))
+            match = ["id__", "none__", "size__", "crc__", "nth__"]
+            nth = F.row_number().over(Window.partitionBy(*match[:-1]).orderBy("order__")).alias("nth__")
+            # a null id takes part as a stand-in beside a flag, as a join on columns does not meet nulls
+            given = lambda c: (F.coalesce(c.cast("string"), F.lit("")).alias("id__"), c.isNull().alias("none__"))
+            rows = docs.select(*given(docs[key]), (F.octet_length(raw) + 1).cast("long").alias("size__"), F.crc32(raw.cast("binary")).alias("crc__"), F.struct(*kept).alias("row__"))
+            rows = rows.withColumn("order__", F.xxhash64("row__")).select(*match[:-1], nth, "row__")
+            where = placement.select(*given(placement[key]), F.col("size").alias("size__"), F.col("text_crc32").alias("crc__"), "shard", "slot", F.struct("shard", "slot").alias("order__"))
+            where = where.select(*match[:-1], nth, "shard", "slot")
+        data = rows.join(where.where(F.col("shard").isin(affected)), match).select("row__.*", "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("part_"))
         data.repartition("shard", "part_").sortWithinPartitions("shard", "slot").drop("part_").write.mode("overwrite").partitionBy("shard").parquet(out)
     return affected
