@@ -87,6 +87,36 @@ def test_nulls_and_repeated_ids_are_rewritten(spark, docs, tmp_path):
         assert Counter((r["doc_id"], len(r["text"] or "") + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in back) == want
 
 
+def test_query_writes_and_reads_the_shards(spark, sf, monkeypatch):
+    import vecscope.llm.queries as registered
+
+    made = []
+
+    class Kept(registered.Scratch):
+        def __init__(self, *a):
+            super().__init__(*a)
+            made.append(self)
+
+    monkeypatch.setattr(registered, "Scratch", Kept)
+    got = registered.op7_resharding(spark, sf).collect()
+    files = spark.read.parquet(made[0].path("new")).select("doc_id", "text", "shard", "slot").collect()
+    read = {(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in files}
+    changed = {x for r in got if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])}
+    want = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got if r["shard"] in changed]
+    assert changed and read == set(want) and len(files) == len(want)
+
+
+def test_shards_that_stay_are_read_from_their_old_files(spark, docs):
+    from vecscope.llm.common import Scratch
+
+    rows = [(i, "t" * (i % 9)) for i in range(40)] + [(None, None), (None, "x")]
+    d = docs(rows).drop("row_")
+    got = rs.reshard_files(d, Scratch(spark, "one"), 1, 1).collect()
+    check(rows, got, 1)
+    check(rows, rs.reshard_files(d, Scratch(spark, "more"), 3, 2).collect(), 3)
+    assert rs.reshard_files(d.limit(0), Scratch(spark, "none")).count() == 0
+
+
 def test_whole_table(spark, sf):
     from vecscope.llm.queries import queries
 

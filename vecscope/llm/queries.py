@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, html_text, near_dedup, pii, quality_fm, quality_rules, reshard, url_filter, warc
-from .common import table
+from .common import Scratch, table
 from .oracles import ORACLES
 
 
@@ -39,7 +39,7 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dealt = reshard.reshard(table(spark, sf_dir, "documents"), shards=16)
+    dealt = reshard.reshard_files(table(spark, sf_dir, "documents"), Scratch(spark, "shards"), shards=16)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 

@@ -172,6 +172,34 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, k
     )
 
 
+def lay_out(docs: DataFrame, out: str, old_shards: int = 12, key: str = "doc_id") -> DataFrame:
+    """`docs` as they lie in old shards by a hash of the id, one folder each, read back with `shard` and `row_`, an identity."""
+    place = F.pmod(F.xxhash64(docs[key]), F.lit(old_shards)).cast("int")
+    d = docs.select("*", F.monotonically_increasing_id().alias("row_"), place.alias("shard"))
+    d.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(out)
+    return docs.sparkSession.read.schema(d.schema).parquet(out)
+
+
+def reshard_files(docs: DataFrame, scratch: Scratch, shards: int = 16, old_shards: int = 12, key: str = "doc_id", text: str = "text", rows_per_file: int = 10_000) -> DataFrame:
+    """(key, size, text_crc32, old_shard, shard, slot) as read from the files of the new shards.
+
+    Old shards are written, planned and rewritten where they change; sizes and checksums are those of the texts read back.
+    """
+    old = lay_out(docs, scratch.path("old"), old_shards, key)
+    placed = scratch.save(reshard(old, shards, old_shards, F.col("shard"), key, text, identity="row_"), "placement")
+    affected = rewrite(old, placed, scratch.path("new"), key, rows_per_file, text, "row_")
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    read = lambda d, was: d.select(key, (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.col(was).alias("old_shard"), "shard", "slot")
+    # files that stay as they are hold no slots
+    stay = placed.where(~F.col("shard").isin(affected)).select("row_", "slot")
+    out = read(old.where(~F.col("shard").isin(affected)).join(stay, "row_"), "shard")
+    if not affected:
+        return out
+    kept = ", ".join(f"`{f.name if f.name != 'shard' else 'shard_in'}` {f.dataType.simpleString()}" for f in old.schema)
+    new = docs.sparkSession.read.schema(f"{kept}, slot long, shard int").parquet(scratch.path("new"))
+    return read(new, "shard_in").unionByName(out)
+
+
 def rewrite(docs: DataFrame, placement: DataFrame, out: str, key: str = "doc_id", rows_per_file: int = 500_000, text: str = "text", identity: str | None = None) -> list[int]:
     """Write the shards that gain or lose rows under `out`, one folder each, in slot order; the rest stay as they are.
 
@@ -197,5 +225,5 @@ def rewrite(docs: DataFrame, placement: DataFrame, out: str, key: str = "doc_id"
             where = placement.select(*given(placement[key]), F.col("size").alias("size__"), F.col("text_crc32").alias("crc__"), "shard", "slot", F.struct("shard", "slot").alias("order__"))
             where = where.select(*match[:-1], nth, "shard", "slot")
         data = rows.join(where.where(F.col("shard").isin(affected)), match).select("row__.*", "shard", "slot", F.floor(F.col("slot") / rows_per_file).alias("part_"))
-        data.repartition("shard", "part_").sortWithinPartitions("shard", "slot").drop("part_").write.mode("overwrite").partitionBy("shard").parquet(out)
+        data.repartition("shard", "part_").sortWithinPartitions("shard", "slot").drop("part_").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(out)
     return affected
