@@ -160,6 +160,20 @@ def test_zero_distances_in_measures(spark):
     assert measures.epsilon_hardness(gt, 2, 0.0).first()["value"] == 3
 
 
+def test_contrast_takes_the_whole_base(spark, cloud, sf, monkeypatch):
+    from vecscope.plans import queries
+
+    b, q = vectors(spark, cloud[20:]), vectors(spark, cloud[:20], "q_id")
+    for rooted in (False, True):
+        want = {r["q_id"]: r["value"] for r in measures.relative_contrast(knn.exact_knn(b, q, 100), 5, rooted).collect()}
+        monkeypatch.setattr(knn, "BLOCK", 16)
+        got = {r["q_id"]: r["value"] for r in measures.relative_contrast(knn.exact_knn(b, q, 6), 5, rooted, knn.mean_distance(b, q, rooted)).collect()}
+        assert len(got) == 20 and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    asked, gt = [], queries._gt
+    monkeypatch.setattr(queries, "_gt", lambda s, d, k: asked.append(k) or gt(s, d, min(k, 11)))
+    assert queries.QUERIES["relative_contrast"](spark, sf).count() and max(asked) == 11
+
+
 def test_pagerank_sums_to_one_and_breadth_first(spark):
     e = spark.createDataFrame([(0, 0, 1), (1, 0, 2), (2, 0, 0), (2, 1, 3)], "src long, pos int, dst long")
     n = spark.createDataFrame([(i,) for i in range(5)], "vec_id long")

@@ -68,13 +68,19 @@ def _direct(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return (d * d).sum(axis=1)
 
 
+def _pairs(base: DataFrame, query: DataFrame) -> DataFrame:
+    """(ids, data, q_ids, q_data): every block of the base beside every block of queries."""
+    qb, xb = blocks(query, "q_id").select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), blocks(base, "vec_id")
+    small = query.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
+    pairs = xb.crossJoin(F.broadcast(qb)) if small * 8 <= BROADCAST_BYTES else xb.crossJoin(qb)
+    return pairs.select("ids", "data", "q_ids", "q_data")
+
+
 def exact_knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, engine: str = "arrow") -> DataFrame:
     """gt(q_id, rank, id, dist): the k nearest base vectors of each query, rank from 1, by distance and then id."""
     if engine == "sql":
         return _knn_sql(base, query, k, metric, exclude_self)
-    qb, xb = blocks(query, "q_id").select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data")), blocks(base, "vec_id")
-    small = query.agg(F.sum(F.size("v")).alias("n")).first()["n"] or 0
-    pairs = xb.crossJoin(F.broadcast(qb)) if small * 8 <= BROADCAST_BYTES else xb.crossJoin(qb)
+    pairs = _pairs(base, query)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,10 +105,26 @@ def exact_knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2", exc
                         out_q.append(np.full(len(best), q_ids[start + r]))
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_q, out_id, out_d)], ["q_id", "id", "dist"])
 
-    partial = pairs.select("ids", "data", "q_ids", "q_data").mapInArrow(run, "q_id long, id long, dist double")
+    partial = pairs.mapInArrow(run, "q_id long, id long, dist double")
     return top_k(partial, k)
 
 
+def mean_distance(base: DataFrame, query: DataFrame, rooted: bool = False) -> DataFrame:
+    """(q_id, mean): mean distance to the whole base, squared unless rooted; blocks give sums, no pair leaves a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, data, q_ids, q_data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                x, q = np.frombuffer(data).reshape(len(ids), -1), np.frombuffer(q_data).reshape(len(q_ids), -1)
+                for start in range(0, len(q), 256):
+                    d = np.maximum(_distances(q[start : start + 256], x, "l2"), 0.0)
+                    total = (np.sqrt(d) if rooted else d).sum(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[start : start + 256], pa.int64()), pa.array(total), pa.array(np.full(len(total), len(ids)))], ["q_id", "total", "n"])
+
+    sums = _pairs(base, query).mapInArrow(run, "q_id long, total double, n long")
+    return sums.groupBy("q_id").agg((F.sum("total") / F.sum("n")).alias("mean"))
+
+
 def top_k(near: DataFrame, k: int) -> DataFrame:
     """The k best rows of each query; Spark limits every partition before the shuffle."""
     w = Window.partitionBy("q_id").orderBy("dist", "id")

@@ -64,9 +64,11 @@ def epsilon_hardness(gt: DataFrame, k: int, eps: float = 1.0) -> DataFrame:
     return gt.join(kth, "q_id").groupBy("q_id").agg(F.least(inside, F.count("*") - 1).alias("value"))
 
 
-def relative_contrast(gt: DataFrame, k: int, rooted: bool = False) -> DataFrame:
-    """(q_id, value): mean distance over d[k]; gt holds the whole base."""
+def relative_contrast(gt: DataFrame, k: int, rooted: bool = False, means: DataFrame | None = None) -> DataFrame:
+    """(q_id, value): mean distance over d[k]; means(q_id, mean) are over the whole base, without them gt holds it."""
     d = F.sqrt("dist") if rooted else F.col("dist")
+    if means is not None:
+        return gt.withColumn("x", d).groupBy("q_id").agg(_at(k + 1, "x").alias("dk")).join(means, "q_id").select("q_id", (F.col("mean") / F.col("dk")).alias("value"))
     return gt.withColumn("x", d).groupBy("q_id").agg((F.avg("x") / _at(k + 1, "x")).alias("value"))
 
 

@@ -451,7 +451,8 @@ _measure("epsilon_hardness", lambda gt: measures.epsilon_hardness(gt, K, 0.1))
 
 @query
 def relative_contrast(s, d):
-    return measures.relative_contrast(_gt(s, d, 100_000)[2], K).select("q_id", r6("value", "value"))
+    b, q, gt = _gt(s, d, K + 1)
+    return measures.relative_contrast(gt, K, means=knn.mean_distance(b, q)).select("q_id", r6("value", "value"))
 
 
 @query
