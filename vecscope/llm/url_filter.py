@@ -3,7 +3,9 @@
 Both models are variable-order Markov models over characters, trained on the URLs that rules accept and reject.  The
 probability of a character after a context of n characters mixes the counts at that order with the probability at
 order n - 1 (weight MIX); contexts seen less than LEAST times are skipped, so the order varies with the evidence.
-A URL's score is the mean over its characters of log P(accepted) - log P(rejected).  One fold of the URLs with rules
+The models see a URL's host and path only, as its rules do: what follows the first ? or # is neither trained on nor
+scored, so URLs that differ only there get one verdict.
+A URL's score is the mean over those characters of log P(accepted) - log P(rejected).  One fold of the URLs with rules
 is kept from training; the cut on the score is the one that best separates its two classes.
 
 The tables of grams grow with the alphabet and the order, not with the corpus.  They are broadcast below
