@@ -181,6 +181,12 @@ def test_pagerank_sums_to_one_and_breadth_first(spark):
     assert {r["node"]: r["hops"] for r in stats.bfs_distances(e, 0).collect()} == {0: 0, 1: 1, 2: 2, 3: 3}
 
 
+def test_breadth_first_follows_long_chains(spark):
+    e = spark.createDataFrame([(i, 0, i + 1) for i in range(67)], "src long, pos int, dst long")
+    assert {r["node"]: r["hops"] for r in stats.bfs_distances(e, 0).collect()} == {i: i for i in range(68)}
+    assert stats.bfs_distances(e, 0, limit=3).count() == 4
+
+
 @pytest.mark.parametrize("kind", ["fvecs", "fbin"])
 def test_vector_files(spark, cloud, tmp_path, kind):
     b = vectors(spark, cloud.astype(np.float32))

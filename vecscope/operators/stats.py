@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -97,17 +98,19 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bfs_distances(edges: DataFrame, start: int, limit: int = 64) -> DataFrame:
-    """(node, hops) from one node, by frontiers; each frontier is checkpointed."""
+def bfs_distances(edges: DataFrame, start: int, limit: int | None = None) -> DataFrame:
+    """(node, hops) from one node, by frontiers until none is left, or up to a limit; each frontier is checkpointed."""
     spark = edges.sparkSession
     seen = _cut(spark.createDataFrame([(start, 0)], "node long, hops int"))
     front = seen
-    for hop in range(1, limit + 1):
+    for hop in count(1) if limit is None else range(1, limit + 1):
         nxt = edges.join(front.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti")
         front = _cut(nxt.withColumn("hops", F.lit(hop)))
         if not front.limit(1).count():
             break
         seen = seen.union(front)
+        if hop % 16 == 0:  # a long path would make a long plan
+            seen = _cut(seen.coalesce(spark.sparkContext.defaultParallelism))
     return seen
 
 
