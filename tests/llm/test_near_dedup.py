@@ -119,3 +119,64 @@ def test_components_of_paths_stars_and_loops(spark):
         got[r["component"]].add(r["node"])
     assert got == {1: set(range(1, 41)), 100: set(range(100, 130)), 200: {200, 201}}
     assert components(e.limit(0), Scratch(spark, "t")).count() == 0
+
+
+def joined_by_id(rows, percent):
+    """(id, n, component) where rows of one id are one document: by links and shared ids, over all pairs of rows."""
+    s = [sets(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            same = rows[a][0] is not None and rows[a][0] == rows[b][0]
+            if same or (s[a] and s[b] and 100 * len(s[a] & s[b]) >= percent * len(s[a] | s[b])):
+                up[root(a)] = root(b)
+    least = {}
+    for x, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root(x)] = min(i, least.get(root(x), i))
+    return sorted(((i, len(s[x]), least.get(root(x))) for x, (i, _) in enumerate(rows)), key=repr)
+
+
+def test_texts_that_share_an_id(docs, words):
+    a, b, c = words(30, 1), words(30, 2), words(30, 3)
+    rows = [(2, a), (5, a), (5, b), (6, b), (7, c)]
+    got = nd.components_of(docs(rows)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (5, 2), (5, 2), (6, 2), (7, 7)]
+    kept = sorted((r["doc_id"], r["text"]) for r in nd.keep_one(docs(rows)).collect())
+    assert kept == [(2, a), (5, b), (7, c)]
+
+
+def test_shared_null_and_empty_ids_equal_brute_force(docs, corpus):
+    r = random.Random(8)
+    rows = [(i % 40 if r.random() < 0.3 else None if r.random() < 0.1 else i, t) for i, t in corpus] + [(3, None), (3, ""), (900, None), (900, corpus[9][1])]
+    got = nd.components_of(docs(rows), 85).collect()
+    assert sorted((tuple(x)[:3] for x in got), key=repr) == joined_by_id(rows, 85)
+    assert all(x["kept"] == (x["component_id"] is None or x["doc_id"] == x["component_id"]) for x in got)
+    kept = [(x["doc_id"], x["text"]) for x in nd.keep_one(docs(rows), 85).collect()]
+    # every text has a linked one that stays, and no two that stay are linked
+    s = {t: sets(t) for _, t in rows}
+    near = lambda x, y: bool(s[x]) and 100 * len(s[x] & s[y]) >= 85 * len(s[x] | s[y])
+    groups = brute(list(enumerate(t for _, t in rows)), 85)
+    stays = {t for _, t in kept}
+    of = {x: c for x, _, c in groups}
+    by_group = defaultdict(set)
+    for x, (i, t) in enumerate(rows):
+        if s[t] and (i, t) in kept:
+            by_group[of[x]].add((i, t))
+    assert {of[x] for x, (_, t) in enumerate(rows) if s[t]} == set(by_group) and all(len(v) == 1 for v in by_group.values())
+    assert None in stays and len(kept) == len(set(kept)) and not any(near(x, y) for x in stays for y in stays if x is not y and x != y)
+
+
+def test_hot_buckets_and_hubs_give_the_same(docs, corpus, monkeypatch):
+    from vecscope.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    monkeypatch.setattr(nd, "PAIRS", 4)
+    assert sorted(tuple(r)[:3] for r in nd.components_of(docs(corpus), 85).collect()) == brute(corpus, 85)
