@@ -82,3 +82,11 @@ def test_whole_table(spark, sf):
 
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     assert sorted((tuple(r) for r in queries()["op10_warc"](spark, sf).collect()), key=repr) == want(rows)
+
+
+def test_reading_is_dealt_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(w, "READ_BYTES", 2000)
+    rows = [(i, f"http://h{i}.example.org/", f"{i} " + BIG) for i in range(400)]
+    got = w.archive(pages(spark, rows)).read_all()
+    spread = got.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(spread) == 4 and max(r["count"] for r in spread) < 250

@@ -36,11 +36,14 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from .common import Scratch
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
 LINES = 3000
+#: Byte range of one archive whose records are read together.
+READ_BYTES = 4 << 20
 LEVEL = 3
 BROADCAST_ROWS = 100_000
 SALTS = 64
@@ -239,24 +242,43 @@ class Archive:
     def index(self) -> str:
         return f"{self.folder}/cdx"
 
-    def read_all(self) -> DataFrame:
-        """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record the index lists."""
-        archives, index = self.archives, self.index
+    def captures(self) -> DataFrame:
+        """(file, offset, length) of every record the index lists, from one task for each few blocks."""
+        index = self.index
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            blocks, records = Reader(index), Reader(archives)
+            blocks = Reader(index)
             for batch in batches:
                 for name, offset, length in zip(batch["file"].to_pylist(), batch["offset"].to_pylist(), batch["length"].to_pylist(), strict=True):
+                    cols = list(zip(*parse_block(blocks.read(name, offset, length)), strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[c], t) for c, t in ((2, pa.string()), (3, pa.int64()), (4, pa.int64()))], ["file", "offset", "length"])
+
+        return spread(self.directory.select("file", "offset", "length"), "file", "offset").mapInArrow(run, "file string, offset long, length long")
+
+    def read_all(self) -> DataFrame:
+        """(page_id, payload_bytes, payload_digest, record_type, refers_to) of every record the index lists.
+
+        Records are dealt by ranges of READ_BYTES of an archive to a stated number of tasks, each range read in order,
+        so tasks grow with the bytes of the archives, not with the index.
+        """
+        archives = self.archives
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            records = Reader(archives)
+            for batch in batches:
+                for start in range(0, batch.num_rows, 256):
+                    part = batch.slice(start, 256)
                     rows = []
-                    for _, _, file, at, size in sorted(parse_block(blocks.read(name, offset, length)), key=lambda x: x[2:4]):
+                    for file, at, size in zip(*(c.to_pylist() for c in part.columns), strict=True):
                         r = Record.parse(gzip.decompress(records.read(file, at, size)))
                         rows.append((r.page(), r.size, r.digest, r.kind, r.page("warc-refers-to")))
                     cols = list(zip(*rows, strict=True))
                     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-        spread = self.directory.repartition(F.col("file"), F.col("offset"))
-        return spread.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        ranges = self.captures().withColumn("range_", F.floor(F.col("offset") / READ_BYTES))
+        dealt = spread(ranges, "file", "range_").sortWithinPartitions("file", "offset").select("file", "offset", "length")
+        return dealt.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
     def lookup(self, key: str, directory: list | None = None) -> list[Record]:
         """The captures of one key: binary search in the directory, then the blocks and byte ranges it points to.
