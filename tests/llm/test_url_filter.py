@@ -85,7 +85,7 @@ def test_scores_equal_a_plain_model(spark):
     assert min(garden, library) > max(casino, bets) and got[len(urls) - 4]["verdict"] == "allow" and got[len(urls) - 3]["verdict"] == "block"
 
 
-def test_salted_join_gives_the_same(spark, monkeypatch):
+def test_shuffled_join_gives_the_same(spark, monkeypatch):
     p = pages(spark, many())
     want = sorted(u.judge(p).collect())
     monkeypatch.setattr(u, "BROADCAST_ROWS", 0)

@@ -8,8 +8,9 @@ scored, so URLs that differ only there get one verdict.
 A URL's score is the mean over those characters of log P(accepted) - log P(rejected).  One fold of the URLs with rules
 is kept from training; the cut on the score is the one that best separates its two classes.
 
-The tables of grams grow with the alphabet and the order, not with the corpus.  They are broadcast below
-BROADCAST_ROWS rows, which is measured, and joined with a salt beyond.
+Scoring takes one row of two numbers for each character, the URL's and the gram's; the table of grams is broadcast
+below BROADCAST_ROWS rows, which are counted, and joined by a shuffle of those numbers beyond, in which frequent grams
+are dealt to many tasks.  The characters of a URL are added up before anything else is shuffled.
 
 Defined results
   null url, or none with ://   host and path empty, no rule; the model judges the empty string
@@ -27,7 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from ..plans.tables import spread
+from .common import Scratch, hot_bound, join_unique, let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORDER = 4
@@ -36,7 +38,7 @@ LEAST = 3
 ALPHABET = 128
 FOLDS = 5
 BROADCAST_ROWS = 200_000
-SALTS = 32
+SLICE = 10_000
 START, END = "\x02", "\x03"
 
 
@@ -121,35 +123,37 @@ def log_ratios(labelled: DataFrame, every: DataFrame) -> DataFrame:
     return wide.select("gram", (logs["good"] - logs["bad"]).alias("ratio"))
 
 
-def _joined(rows: DataFrame, table: DataFrame, n: int) -> DataFrame:
-    """rows with the ratio of their gram: a broadcast below the bound, salted beyond it."""
-    if n <= BROADCAST_ROWS:
-        return rows.join(F.broadcast(table), "gram")
-    dealt = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(dealt, ["gram", "salt"]).drop("salt")
+def _ratios(rows: DataFrame, table: DataFrame, total: int) -> DataFrame:
+    """rows (row, gram) with the ratio of their gram from (gram, n, ratio); n says how often a gram occurs."""
+    if table.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.select("gram", "ratio")), "gram")
+    return join_unique(rows, table.select("gram", "ratio"), table.where(F.col("n") > hot_bound(total)).select("gram", "ratio"), ["gram"], ["row"])
 
 
 def scores(pages: DataFrame, rules: tuple[UrlRule, ...], scratch: Scratch) -> DataFrame:
-    """(page_id, url, copies, host, path, rule, ruled, score) for each distinct page_id and url."""
+    """(row, page_id, copies, host, path, rule, ruled, shown, score) for each distinct page_id and url."""
     host, path = host_path(F.col("url"))
     rule, ruled = by_rule(rules, F.col("host"), F.col("path"))
     d = pages.groupBy("page_id", "url").agg(F.count("*").alias("copies")).select("*", host.alias("host"), path.alias("path"))
-    d = scratch.save(d.select("*", rule.alias("rule"), ruled.alias("ruled"), F.concat("host", "path").alias("shown")), "urls")
+    d = d.select("*", rule.alias("rule"), ruled.alias("ruled"), F.concat("host", "path").alias("shown"))
+    # work goes by characters, so rows are dealt to every core; the number of a row is settled by being stored
+    d = scratch.save(spread(d, "page_id", "url").withColumn("row", F.monotonically_increasing_id()), "urls")
     train = d.where(F.col("ruled").isNotNull() & (fold(F.col("shown")) != 0))
-    every = scratch.save(
-        d.select(F.explode(grams(F.col("shown"))).alias("gram")).groupBy("gram").count().select("gram"), "grams"
-    )
+    every = scratch.save(d.select(F.explode(grams(F.col("shown"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")), "grams")
     labelled = train.select(F.explode(grams(F.col("shown"))).alias("gram"), "ruled").groupBy("gram").agg(
         F.count_if(F.col("ruled") == "allow").alias("good"), F.count_if(F.col("ruled") == "block").alias("bad")
     )
-    table = scratch.save(log_ratios(scratch.save(labelled, "labelled"), every), "ratios")
     both = train.agg(F.count_if(F.col("ruled") == "allow"), F.count_if(F.col("ruled") == "block")).first()
     if not all(both):  # a class is missing: nothing to compare
         return d.withColumn("score", F.lit(0.0))
-    rows = d.select("*", F.explode(grams(F.col("shown"))).alias("gram"))
+    learnt = log_ratios(scratch.save(labelled, "labelled"), every.select("gram"))
     # sums of rounded terms are the same in any order
-    mean = (F.sum(F.round(F.col("ratio") * 1e9).cast("long")) / F.count("*") / 1e9).alias("score")
-    return _joined(rows, table, table.count()).groupBy(*d.columns).agg(mean)
+    table = learnt.join(every, "gram").select(F.xxhash64("gram").alias("gram"), "n", F.round(F.col("ratio") * 1e9).cast("long").alias("ratio"))
+    table = scratch.save(table, "ratios")
+    rows = d.select("row", F.explode(grams(F.col("shown"))).alias("gram")).select("row", F.xxhash64("gram").alias("gram"))
+    total = every.agg(F.sum("n")).first()[0] or 0
+    mean = _ratios(rows, table, total).groupBy("row").agg((F.sum("ratio") / F.count("*") / 1e9).alias("score"))
+    return d.join(mean, "row")
 
 
 def best_cut(scored: DataFrame) -> float:
@@ -178,5 +182,12 @@ def judge(pages: DataFrame, rules: tuple[UrlRule, ...] = RULES, key: str = "page
     scored = scratch.save(scores(narrow, rules, scratch), "scored")
     cut = best_cut(scored)
     verdict = F.coalesce("ruled", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    one = scored.select(F.col("page_id").alias(key), "host", "path", "rule", verdict.alias("verdict"), F.round("score", 6).alias("score"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_"))
-    return one.drop("copy_")
+    one = scored.select(F.col("page_id").alias(key), "host", "path", "rule", verdict.alias("verdict"), F.round("score", 6).alias("score"), "copies")
+    # a repeated row is given back in slices of bounded length
+    parts = one.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / SLICE))))
+    if scored.where(F.col("copies") > SLICE).isEmpty():
+        dealt = parts
+    else:
+        dealt = parts.repartition("part_", key, "host", "path")
+    size = F.least(F.lit(SLICE).cast("long"), F.col("copies") - F.col("part_") * SLICE)
+    return dealt.withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), size))).drop("copy_", "part_", "copies")
