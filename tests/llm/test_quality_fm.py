@@ -72,3 +72,18 @@ def test_share_of_capitals_reads_the_whole_text():
         for text in ("A" * size, "aB" * (size // 2), "a" * (size - 1) + "A", "A" + "é" * size):
             raw = text.encode()
             assert f(text, None)[1][5] == sum(65 <= c <= 90 for c in raw) / len(raw)
+
+
+def test_sample_is_bounded_in_rows_and_bytes(spark, docs, words):
+    rows = corpus(words)
+    many = docs([(i, t) for i, t in rows for _ in range(20)] + [(i, f"{t} again") for i, t in rows])
+    none = [(10_000 + i, "no document has this id") for i in range(500)]
+    lab = labels(spark, rows).union(labels(spark, none).where("doc_id > 9999"))
+    how = ("doc_id", "text", "n_chars", "quality")
+    two = q.training_rows(many, lab, 2, 1 << 30, *how)
+    assert len(two) == 2
+    every = q.training_rows(many, lab, 10_000, 1 << 30, *how)
+    assert len(every) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i, _ in rows)
+    size = lambda rs: sum(4 * len(i) + 4 * len(v) for i, v, _ in rs)
+    some = q.training_rows(many, lab, 10_000, size(every[:7]), *how)
+    assert len(some) == 7 and size(some) <= size(every[:7])

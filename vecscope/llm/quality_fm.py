@@ -1,16 +1,18 @@
 """Quality classifier: a factorisation machine over hashed words, structure statistics and the length column.
 
 The pairwise term is evaluated in linear time by the sum-of-squares identity: for each factor, half of the square of
-the sum less the sum of the squares.  Training reads a bounded sample of labelled rows, SAMPLE by default, outside the
-held-out fold; the sample is chosen by a hash of the id, so it is the same in every run.  Scoring sends a weight table
-of fixed size to the executors and judges every row where it lies.
+the sum less the sum of the squares.  Training reads a bounded sample of labelled documents outside the held-out fold:
+SAMPLE of them at most, one row each, and SAMPLE_BYTES of their features at most.  It is chosen by a hash of the id
+among the labelled ids that have a document, so it is the same in every run.  Scoring sends a weight table of fixed
+size to the executors and judges every row where it lies.
 
 Defined results
   null or empty text   has structure features only and gets their score
   very long texts      all words count; memory grows with one text
   ties                 a score of 0.5 is predicted 1; a row with labels that disagree counts with their mean
   null labels or ids   not trained on; every row is scored all the same
-  repeated rows        equal rows get equal scores
+  repeated rows        equal rows get equal scores; of rows that share a labelled id, training takes one, by a hash of
+                       its text
   empty tables         no labels: every score is 0.5; no documents: no rows
   extra columns        `score` returns its own columns only
 """
@@ -26,9 +28,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SLOTS = 1 << 15
 STATS = 12
 SAMPLE = 6000
+SAMPLE_BYTES = 256 << 20
 FACTORS = 8
 WORDS_KEPT = 500_000
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -134,26 +139,45 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", size: str = "n_chars", label: str = "quality") -> Machine:
-    """A machine fitted on at most `sample` labelled rows outside the held-out fold."""
+def training_rows(docs: DataFrame, labels: DataFrame, sample: int, sample_bytes: int, key: str, text: str, size: str, label: str) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """(slots, values, label) of the sample, in the order of a hash of the ids: bounded in rows and in bytes."""
     known = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
-    chosen = known.groupBy(F.col(key).alias("key_")).agg(F.avg(F.col(label).cast("double")).alias("label_")).orderBy(F.xxhash64("key_"), "key_").limit(sample)
+    known = known.groupBy(F.col(key).alias("key_")).agg(F.avg(F.col(label).cast("double")).alias("label_"))
+    there = docs.select(docs[key].alias("key_")).distinct()
+    chosen = known.join(there, "key_", "left_semi").orderBy(F.xxhash64("key_"), "key_").limit(sample)
     n_chars = docs[size].cast("long") if size in docs.columns else F.lit(None).cast("long")
-    rows = docs.select(docs[key].alias("key_"), docs[text].cast("string").alias("text_"), n_chars.alias("n_")).join(F.broadcast(chosen), "key_")
+    rows = docs.select(docs[key].alias("key_"), F.struct(F.xxhash64(docs[text].cast("string")).alias("hash"), docs[text].cast("string").alias("text"), n_chars.alias("n")).alias("row_"))
+    # at most `sample` ids are sent
+    one = rows.join(F.broadcast(chosen), "key_").groupBy("key_", "label_").agg(F.min("row_").alias("row_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Featurizer()
         for batch in batches:
-            out = [f(t, n) for t, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.string()), batch.column(3), pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())],
-                ["key", "label", "idx", "value"],
-            )
-
-    got = rows.select("key_", "text_", "n_", "label_").mapInArrow(run, "key string, label double, idx binary, value binary").collect()
-    got.sort(key=lambda r: (r["key"], bytes(r["idx"]), bytes(r["value"])))
-    pairs = [(np.frombuffer(r["idx"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64)) for r in got]
-    return fit(pairs, np.array([r["label"] for r in got], float))
+            out = [f(t, n) for t, n in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            idx, value = pa.array([i.astype(np.int32).tobytes() for i, _ in out], pa.binary()), pa.array([v.astype(np.float32).tobytes() for _, v in out], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), idx, value], ["place", "label", "idx", "value"])
+
+    made = one.select(F.struct(F.xxhash64("key_").alias("h"), F.col("key_").cast("string").alias("k")).cast("string").alias("place"), "label_", "row_.text", "row_.n")
+    scratch = Scratch(docs.sparkSession, "fm")
+    made = scratch.save(made.mapInArrow(run, "place string, label double, idx binary, value binary"), "rows")
+    taken, used = [], 0
+    for place, n in sorted(tuple(r) for r in made.select("place", (F.octet_length("idx") + F.octet_length("value")).alias("n")).collect()):  # `sample` rows
+        used += n
+        if used > sample_bytes:
+            break
+        taken.append(place)
+    got = made.where(F.col("place") <= taken[-1]).collect() if taken else []
+    scratch.drop()
+    got.sort(key=lambda r: r["place"])
+    return [(np.frombuffer(r["idx"], np.int32).astype(np.int64), np.frombuffer(r["value"], np.float32).astype(np.float64), r["label"]) for r in got]
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", size: str = "n_chars", label: str = "quality", sample_bytes: int = SAMPLE_BYTES
+) -> Machine:
+    """A machine fitted on at most `sample` labelled documents outside the held-out fold."""
+    rows = training_rows(docs, labels, sample, sample_bytes, key, text, size, label)
+    return fit([(i, v) for i, v, _ in rows], np.array([y for _, _, y in rows], float))
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
