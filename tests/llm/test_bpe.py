@@ -86,3 +86,16 @@ def test_whole_table(spark, sf, library):
         ids, decoded = want(library, texts[r["doc_id"]])
         assert (r["n_tokens"], r["ids_sha256"]) == (len(ids.split()), hashlib.sha256(ids.encode()).hexdigest())
         assert r["decoded_sha256"] == hashlib.sha256(decoded.encode()).hexdigest()
+
+
+def test_verdicts_are_bounded_and_sorted(monkeypatch):
+    import random
+
+    import numpy as np
+
+    codec = bpe.Codec.load(P.path("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe, "PAIRS_KEPT", 300)
+    r = random.Random(1)
+    for _ in range(30):
+        codec.encode(" ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(20)))
+        assert sum(len(k) for k, _ in codec.runs) <= 600 and all((np.diff(k) > 0).all() for k, _ in codec.runs)

@@ -3,16 +3,18 @@
 A sequence of tokens is the BPE encoding of a word exactly if every adjacent pair (a, b) is *compatible*, that is if
 merging the symbols of a followed by those of b yields a, b again, and a lone token yields itself.  So each distinct
 word of a batch is first cut greedily into longest vocabulary entries; the distinct adjacent pairs of all words are
-then looked up together in a sorted table of known verdicts (unknown ones are settled once by merging the two
-tokens alone); only words that hold an incompatible pair are merged exactly.
+then looked up together in sorted runs of known verdicts, bounded in number (unknown ones are settled by merging the
+two tokens alone); only words that hold an incompatible pair are merged exactly.
 
 The vocabulary file is a parameter.  Files with the layout of the `tokenizers` library are read for a BPE model with
 an end-of-word suffix, NFC + white-space + lower-case normalisation and a byte-level split; special tokens in a text
-are cut out first, as that library does.
+are cut out first, as that library does.  Texts with characters outside PLAIN are normalised and split by that library
+itself, as classes of characters differ between Unicode versions; their words are encoded here like all others.
 
 Defined results
   null or empty text   no tokens; both digests are those of the empty string
   very long texts      pieces are found by one linear scan; long words are merged with a heap, n log n
+  null ids             rows like others
   repeated rows, ties  rows are encoded one by one; equal merge ranks go to the leftmost pair
   empty table          no rows
   extra columns        only the key and text columns are read, others are ignored
@@ -34,6 +36,8 @@ from pyspark.sql import types as T
 #: Texts made of these characters only are composed already and lower-case in the same way everywhere.
 PLAIN = regex.compile(r"[\x00-\x1b\x20-\x84\x86-įı-ɏ‐-‧€]*")
 WORDS_KEPT = 400_000
+#: Verdicts on pairs that a worker keeps.
+PAIRS_KEPT = 1_000_000
 #: Words of fewer symbols are merged by scanning a short list, longer ones with a heap.
 SHORT = 48
 NEVER = (1 << 60, -1)
@@ -70,8 +74,8 @@ class Codec:
         self.find = regex.compile(split).findall
         self.source = source
         self._library = None
-        self.known = np.zeros(0, np.int64)
-        self.fits = np.zeros(0, bool)
+        #: Sorted runs of (codes, verdicts), each more than twice as long as the next.
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: dict[str, tuple[str, str]] = {}
         self.exact_words = self.fast_words = 0
 
@@ -156,21 +160,31 @@ class Codec:
     # -- many words ---------------------------------------------------------------------------------------------
     def compatible(self, codes: np.ndarray) -> np.ndarray:
         """Verdict for each pair code a * size + b; code a * size + (size) * size stands for the lone token a."""
-        if not len(self.known):
-            fresh = np.unique(codes)
-        else:
-            at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-            fresh = np.unique(codes[self.known[at] != codes])
-        if len(fresh):
+        codes, back = np.unique(codes, return_inverse=True)
+        out, new = np.zeros(len(codes), bool), np.ones(len(codes), bool)
+        for known, fits in self.runs:
+            at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+            hit = known[at] == codes
+            out[hit] = fits[at[hit]]
+            new &= ~hit
+        if new.any():
             lone = self.size * self.size
             ok = []
-            for c in fresh.tolist():
+            for c in codes[new].tolist():
                 want = [c - lone] if c >= lone else [c // self.size, c % self.size]
                 ok.append(self.merge([s for t in want for s in self.parts(t)]) == want)
-            known, fits = np.concatenate([self.known, fresh]), np.concatenate([self.fits, np.array(ok, bool)])
-            order = np.argsort(known, kind="stable")
-            self.known, self.fits = known[order], fits[order]
-        return self.fits[np.searchsorted(self.known, codes)]
+            out[new] = ok
+            self._remember(codes[new], out[new])
+        return out[back]
+
+    def _remember(self, codes: np.ndarray, fits: np.ndarray) -> None:
+        if sum(len(k) for k, _ in self.runs) + len(codes) > PAIRS_KEPT:
+            self.runs.clear()
+        while self.runs and len(self.runs[-1][0]) <= 2 * len(codes):
+            known, verdicts = self.runs.pop()
+            at = np.searchsorted(known, codes)
+            codes, fits = np.insert(known, at, codes), np.insert(verdicts, at, fits)
+        self.runs.append((codes, fits))
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of each word: speculate, verify all pairs at once, merge what failed."""
