@@ -116,3 +116,33 @@ def test_many_added_spans_join_without_broadcast(docs, monkeypatch):
     monkeypatch.setattr(pii, "BROADCAST_ROWS", -1)
     got = {r["doc_id"]: r["text"] for r in pii.redact(docs(seeded())).collect()}
     assert got[90].endswith("[PHONE] today")
+
+
+def test_discoveries_induce_further_patterns(docs):
+    desk = [(i, f"Please reach the desk at: +1202555{1000 + i} today") for i in range(8)]
+    found = [(20 + i, f"Please reach the desk at: 303555{2000 + i} today") for i in range(8)]
+    again = [(40 + i, f"Call our hotline no: 303555{2000 + i} now") for i in range(8)]
+    rows = [*desk, *found, *again, (90, "Call our hotline no: 4045559999 now"), (91, "There were 4045559999 grains"), (92, "our crate was 4045558888")]
+    got = {r["doc_id"]: (r["n_added"], r["spans"]) for r in pii.find(docs(rows)).collect()}
+    assert all(got[i][0] == 1 for i, _ in [*found, *again]) and got[90] == (1, "phone:21:31")
+    assert got[91][0] == got[92][0] == 0
+    # two discovered numbers are not enough
+    few = [*desk, *found, *again[:2], rows[24]]
+    assert {r["doc_id"]: r["n_added"] for r in pii.find(docs(few)).collect()}[90] == 0
+
+
+def test_null_and_repeated_ids_get_added_spans(docs):
+    rows = [*seeded(), (None, "Please reach the desk at: 2025557777 today"), (90, "Please reach the desk at: 2025559999 today"), (90, "nothing")]
+    got = [(r["doc_id"], r["spans"]) for r in pii.find(docs(rows)).collect()]
+    assert got.count((None, "phone:26:36")) == 1 and got.count((90, "phone:26:36")) == 2 and got.count((90, "")) == 1
+    assert sum(r["text"] == "Please reach the desk at: [PHONE] today" and r["doc_id"] is None for r in pii.redact(docs(rows)).collect()) == 1
+
+
+def test_hot_patterns_and_instances_give_the_same(docs, monkeypatch):
+    from vecscope.llm import common
+
+    rows = [(i, f"desk at: +1202555{1000 + i}") for i in range(20)] + [(100 + i, f"desk at: 202555{2000 + i % 9} or w{i} x: 202555{2000 + i % 9}") for i in range(60)]
+    want = sorted(tuple(r) for r in pii.find(docs(rows)).collect())
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
+    monkeypatch.setattr(common, "HOT_KEYS", 10**9)
+    assert sorted(tuple(r) for r in pii.find(docs(rows)).collect()) == want and sum(r[-1] for r in want) >= 60

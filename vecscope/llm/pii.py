@@ -6,15 +6,20 @@
     distinct instances it stands before, damped by one of score 0; an instance's score is the best confidence of its
     supported patterns, seeds have 1, and seeds of other kinds that have the looser shape of this one have 0.  Scores
     are the fixed point of that: a pattern alone has seeds / (seeds + others + 1), however many instances are unseen.
-3.  Candidates behind a pattern of high confidence, backed by several distinct seeds, become spans as well.
+3.  A pattern is supported by LEAST_SEEDS distinct instances that are seeds, or that other patterns have given a score
+    of LEAST_CONFIDENCE or more: what was discovered induces further patterns, with its own lower scores, generation
+    by generation until nothing new is found.
+4.  Candidates behind a supported pattern of high confidence become spans as well.
 
-Copies of a text don't raise a pattern's confidence, as instances count once.
+Copies of a text don't raise a pattern's confidence, as instances count once.  Patterns before many instances and
+instances behind many patterns are dealt to many tasks.
 
 Defined results
   null or empty text   no spans, base_sha256 of the empty string
   very long texts      runs are matched possessively and from their starts, so time stays linear; positions come from
                        running sums in blocks of the square root of the number of matches
   ties                 candidates of two kinds at one start: the more confident, then the kind listed first
+  null ids             rows like others
   repeated rows        equal rows get equal results, once for each row
   empty table          no rows
   extra columns        `find` returns its own columns only; `redact` returns its input's columns, text and n_chars new
@@ -25,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let
+from .common import Scratch, hot_bound, join_unique, let
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -175,44 +180,65 @@ def scan(docs: DataFrame, carry: list[Column], text: Column) -> DataFrame:
     return d.select(*keep, F.xxhash64("t_").alias("text_hash"), seen.alias("seen"))
 
 
-def pattern_scores(seen: DataFrame, scratch: Scratch, least_seeds: int = LEAST_SEEDS) -> DataFrame:
-    """(kind, pattern, confidence, seeds) of supported patterns from rows (kind, found, seed, patterns).
+def pattern_scores(seen: DataFrame, scratch: Scratch, least_seeds: int = LEAST_SEEDS, confidence: float = LEAST_CONFIDENCE) -> DataFrame:
+    """(kind, pattern, confidence, times) of supported patterns from rows (kind, found, seed, patterns).
 
     Instances that a better pattern vouches for enter a pattern's mean with that one's confidence, the others with its
-    own, which solves for them at once.  Confidences rise to the fixed point and are iterated until none moves.
+    own, which solves for them at once; so no pattern raises itself, confidences rise to the fixed point and are
+    iterated until none moves.  times says how often a pattern stands before anything.
     """
-    both = ["kind", "pattern"]
-    edges = seen.select("kind", "found", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "found").agg(F.max("seed").alias("seed"))
-    edges = scratch.save(edges, "edges")
-    seeds = edges.where("seed").groupBy(*both).agg(F.count("*").alias("seeds")).where(F.col("seeds") >= least_seeds)
+    both, one = ["kind", "pattern"], ["kind", "found"]
+    marks = seen.select("kind", "found", "seed", F.explode("patterns").alias("pattern"))
+    edges = scratch.save(marks.groupBy("kind", "pattern", "found").agg(F.max("seed").alias("seed"), F.count("*").alias("times")), "edges")
+    bound = hot_bound(edges.count())
     shapes = F.array_compact(F.array(*[F.when((F.col("kind") != i) & F.col("found").rlike(rf"^(?:{LOOSE[k]})\z"), F.lit(i)) for i, k in enumerate(KINDS)]))
     others = edges.where("seed").select(F.explode(shapes).alias("kind"), "pattern", "found").distinct().groupBy(*both).agg(F.count("*").alias("others"))
-    known = seeds.join(others, both, "left").na.fill(0, ["others"]).withColumn("confidence", F.col("seeds") / (F.col("seeds") + F.col("others") + 1))
-    known = scratch.save(known.select(*both, "seeds", "others", "confidence"), "patterns-0")
-    unseen = edges.where(~F.col("seed")).join(known.select(*both), both, "left_semi").select(*both, "found")
-    # behind one pattern only, an instance has that pattern's confidence
-    several = unseen.groupBy("kind", "found").count().where("count > 1").select("kind", "found")
-    shared = scratch.save(unseen.join(several, ["kind", "found"], "left_semi"), "shared")
+    able = edges.groupBy(*both).agg(F.count_if("seed").alias("seeds"), F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= least_seeds)
+    known = able.join(others, both, "left").na.fill(0, ["others"]).withColumn("supported", F.col("seeds") >= least_seeds)
+    first = F.when(F.col("supported"), F.col("seeds") / (F.col("seeds") + F.col("others") + 1)).otherwise(F.lit(0.0))
+    known = scratch.save(known.select("*", first.alias("confidence")), "patterns-0")
+    # behind one pattern only, an instance has that pattern's confidence and supports no other
+    free = edges.where(~F.col("seed")).select("kind", "pattern", "found")
+    free = scratch.save(join_unique(free, known.select(*both, "n"), known.where(F.col("n") > bound).select(*both, "n"), both, ["found"]).where("n IS NOT NULL").drop("n"), "free")
+    several = free.groupBy(*one).count().where("count > 1")
+    many = scratch.save(several.where(F.col("count") > bound).select(*one), "many")
+    several = scratch.save(several, "several")
+    shared = join_unique(free, several, several.where(F.col("count") > bound), one, ["pattern"])
+    shared = scratch.save(shared.where("count IS NOT NULL").drop("count"), "shared")
     step = 0
     while True:
-        scored = shared.join(known.select(*both, "confidence"), both)
-        best = scored.groupBy("kind", "found").agg(F.max("confidence").alias("best"))
-        lift = scored.join(best, ["kind", "found"]).where(F.col("best") > F.col("confidence")).groupBy(*both).agg(F.sum("best").alias("more"), F.count("*").alias("n"))
-        new = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("seeds") + F.col("others") + 1 + F.coalesce("n", F.lit(0)))
+        now = known.select(*both, "confidence", "seeds")
+        scored = join_unique(shared, now, known.where(F.col("n") > bound).select(*now.columns), both, ["found"])
+        best = scored.groupBy(*one).agg(F.max("confidence").alias("best")).where("best > 0")
+        rated = join_unique(scored, best, best.join(F.broadcast(many), one, "left_semi"), one, ["pattern"])
+        vouched = (F.col("best") > F.col("confidence")) & ((F.col("seeds") >= least_seeds) | (F.col("best") >= confidence))
+        lift = rated.where(vouched).groupBy(*both).agg(F.sum("best").alias("more"), F.count("*").alias("m"), F.count_if(F.col("best") >= confidence).alias("backed"))
+        m = F.coalesce("m", F.lit(0))
+        new = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("seeds") + F.col("others") + 1 + m)
+        supported = F.col("supported") | (F.col("seeds") + F.coalesce("backed", F.lit(0)) >= least_seeds)
         step += 1
-        moved = scratch.save(known.join(lift, both, "left").select(*both, "seeds", "others", new.alias("confidence"), F.col("confidence").alias("was")), f"patterns-{step}")
+        moved = known.join(lift, both, "left").select(
+            *both, "seeds", "n", "times", "others", supported.alias("supported"),
+            F.greatest("confidence", F.when(supported, new).otherwise(F.lit(0.0))).alias("confidence"), F.col("confidence").alias("was"),
+        )
+        moved = scratch.save(moved, f"patterns-{step}")
         scratch.drop(f"patterns-{step - 1}")
         known = moved.drop("was")
         if moved.where(F.abs(F.col("confidence") - F.col("was")) > SETTLED).isEmpty():
-            return known.select(*both, "confidence", "seeds")
+            return known.where("supported").select(*both, "confidence", "times")
 
 
 def discovered(scanned: DataFrame, keys: list[str], scratch: Scratch, confidence: float = LEAST_CONFIDENCE, least_seeds: int = LEAST_SEEDS) -> DataFrame:
     """`keys` with the array `added` of spans that confident patterns discover."""
     rows = scanned.where(F.size("seen") > 0).select(*keys, F.explode("seen").alias("s")).select(*keys, "s.*")
-    good = pattern_scores(rows, scratch).where((F.col("confidence") >= confidence) & (F.col("seeds") >= least_seeds))
-    hits = rows.where(~F.col("seed")).withColumn("pattern", F.explode("patterns")).join(good, ["kind", "pattern"])
-    one = hits.groupBy(*keys, "start").agg(F.max(F.struct("confidence", -F.col("kind"), "end", "kind", "found"))["end"].alias("end"), F.max(F.struct("confidence", -F.col("kind"), "end", "kind", "found")).alias("m"))
+    good = pattern_scores(rows, scratch, least_seeds, confidence).where(F.col("confidence") >= confidence)
+    good = scratch.save(good, "good")
+    bound = hot_bound(good.agg(F.sum("times")).first()[0] or 0)
+    cands = rows.where(~F.col("seed")).withColumn("pattern", F.explode("patterns")).drop("seed", "patterns")
+    worth = ["kind", "pattern", "confidence"]
+    hits = join_unique(cands, good.select(*worth), good.where(F.col("times") > bound).select(*worth), ["kind", "pattern"], [*keys, "start"]).where("confidence IS NOT NULL")
+    best = F.max(F.struct("confidence", -F.col("kind"), "end", "kind", "found"))
+    one = hits.groupBy(*keys, "start").agg(best.alias("m"))
     return one.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("start", F.col("m.end").alias("end"), F.col("m.kind").alias("kind"), F.col("m.found").alias("found")))).alias("added")
     )
@@ -232,9 +258,10 @@ def _by_start(a: Column) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: base counts, digest of the base spans, the number of added spans, and all spans."""
     scratch = Scratch(docs.sparkSession, "pii")
-    s = scratch.save(scan(docs, [docs[key].alias("key_")], docs[text]), "scan")
-    more = discovered(s, ["key_", "text_hash"], scratch)
-    found = s.select("key_", "text_hash", "base").join(more, ["key_", "text_hash"], "left").select(
+    # the number of a row is settled by being stored; added spans find their row by it
+    s = scratch.save(scan(docs, [docs[key].alias("key_")], docs[text]).withColumn("row_", F.monotonically_increasing_id()), "scan")
+    more = discovered(s, ["row_"], scratch)
+    found = s.select("row_", "key_", "base").join(more, "row_", "left").select(
         F.col("key_").alias(key),
         _by_start(F.col("base")).alias("base"),
         _by_start(F.concat("base", F.coalesce("added", F.array().cast(f"array<{_SPAN}>")))).alias("all_"),
@@ -257,6 +284,7 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str =
     more = discovered(s, ["key_", "text_hash"], scratch)
     # rows that are equal in key and text have their spans twice; one set of them stands for all
     more = scratch.save(more.select(F.col("key_").alias("k_"), F.col("text_hash").alias("h_"), _by_start(F.col("added")).alias("added")), "added")
+    scratch.keep("added")
     few = more.count() <= BROADCAST_ROWS
     row = F.struct(*[docs[c] for c in docs.columns]).alias("row_")
     boxed = docs.select(row, docs[text].alias("t_"), docs[key].alias("key_"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("text_hash"))
