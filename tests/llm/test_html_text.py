@@ -64,3 +64,43 @@ def test_whole_table(spark, sf):
         inner = re.search(r"<article>(.*)</article>", pages[r["page_id"]], re.S)[1].replace("<br>", " ")
         parts = [" ".join(unescape(re.sub(r"</?b>", "", p)).split()) for p in re.split(r"</?(?:p|h1)>", inner)]
         assert r["text"] == " ".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
+
+
+def test_sums_along_the_tree_equal_full_features():
+    import random
+
+    r = random.Random(4)
+    tags = "div p span a ul li article section b table tr td nav x-y".split()
+    field = h.trained()
+    for _ in range(60):
+        page = "".join(
+            r.choice((f"<{(t := r.choice(tags))}{r.choice(('', ' class=' + repr(r.choice(('ad box', 'main text', 'menu side-bar', 'c1 c2 c3')))))}>", f"</{r.choice(tags)}>", " text of a block. "))
+            for _ in range(150)
+        )
+        blocks = h.Blocks.of(page)
+        if blocks:
+            assert np.allclose(field.sums(blocks), field.emissions(h.features(blocks)))
+
+
+def test_deep_nesting_stays_linear():
+    import time
+
+    h.trained()
+    for page in ("<div>x" * 200_000, "<span>" * 100_000 + "<p>x" * 100_000, "<div class='a b'>x" * 100_000, "<b> </b>" * 100_000 + "x", "<p>" + "</i>" * 200_000 + "x", "<li><td>" * 100_000 + "x"):
+        began = time.process_time()
+        text(page)
+        assert time.process_time() - began < 12, page[:20]
+
+
+def test_pages_of_other_shapes():
+    story = "The river rose in the night and the mill stood under water by noon. Nobody in the village had seen such a flood before."
+    more = "They carried the flour up to the church, sack by sack, and waited there. The miller kept count with chalk on the door."
+    pages = [
+        f"<html><body><div id='top'><a href='/'>Home</a> <a href='/n'>News</a> <a href='/s'>Sport</a></div><main><h1>Flood</h1><p>{story}</p><p>{more}</p></main><div class='footer'>Imprint</div></body></html>",
+        f"<body><nav><a href=x>One</a><a href=y>Two</a></nav><div class='content'><article><p>{story}<p>{more}</article></div><footer><p>All rights reserved.</p></footer></body>",
+        f"<article><header><h1>Flood</h1></header><section><p>{story}</p></section><blockquote>{more}</blockquote></article><aside><ul><li><a href=q>Other story</a></ul></aside>",
+    ]
+    for page in pages:
+        got = text(page)
+        assert story in got and more in got
+        assert not any(x in got for x in ("Sport", "Imprint", "All rights", "Other story", "Two"))

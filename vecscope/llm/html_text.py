@@ -7,7 +7,8 @@ as article are joined.  Weights are a table of fixed size, sent to the executors
 
 Defined results
   null or empty html   text '' and n_chars 0
-  very long pages      parsing and decoding are linear in the page; no block is cut or dropped by size
+  very long pages      parsing and decoding are linear in the page and in its nesting: open tags are nodes of a tree
+                       that add to what their parents have; no block is cut or dropped by size
   broken markup        unknown and unclosed tags are closed by their parents' end; p and li by the next of their kind
   ties                 Viterbi prefers the label 0
   repeated rows        each gets its row
@@ -42,51 +43,127 @@ WORDS = re.compile(r"[a-z]+|[0-9]+")
 BITS = 14
 
 
+@functools.lru_cache(maxsize=100_000)
+def _slot(name: str) -> int:
+    h = 2166136261
+    for c in name.encode():
+        h = (h ^ c) * 16777619 & 0xFFFFFFFF
+    return (h ^ (h >> 15)) & ((1 << BITS) - 1)
+
+
+@functools.lru_cache(maxsize=20_000)
+def _open_slots(tag: str, words: tuple[str, ...]) -> tuple[int, ...]:
+    """Features of everything below an open tag."""
+    return tuple({_slot(f"in:{tag}"), *[_slot(f"w:{w}") for w in words]})
+
+
+@functools.lru_cache(maxsize=20_000)
+def _near_slots(tag: str, words: tuple[str, ...]) -> frozenset[int]:
+    """Features of what has this tag as its innermost container, which says most about a block."""
+    return frozenset({_slot(f"near:{tag}"), *[_slot(f"near:w:{w}") for w in words]})
+
+
+@functools.lru_cache(maxsize=20_000)
+def _own_slots(tag: str) -> frozenset[int]:
+    return frozenset({_slot(f"own:{tag}"), _slot("bias")})
+
+
+class Node:
+    """An open tag with its parent; it holds only the features that none of its ancestors has."""
+
+    __slots__ = ("added", "between", "box", "near", "own", "parent", "place", "slots", "tag", "total")
+
+    def __init__(self, parent: Node | None, tag: str, words: tuple[str, ...], active: dict[int, int]):
+        self.parent, self.tag = parent, tag
+        self.slots = _open_slots(tag, words) if parent else ()
+        self.added = tuple(s for s in self.slots if not active.get(s))
+        for s in self.slots:
+            active[s] = active.get(s, 0) + 1
+        self.total = self.place = None
+        if parent is None:
+            self.box, self.near, self.between, self.own = self, frozenset(), (), ()
+            return
+        if words or tag in CONTAINERS:
+            self.box, self.between = self, ()
+            self.near = frozenset(s for s in _near_slots(tag, words) if not active.get(s))
+        else:
+            self.box, self.near, self.between = parent.box, parent.near, parent.between
+            if more := [s for s in self.added if s in self.near]:
+                self.between += tuple(more)
+        self.own = tuple(s for s in _own_slots(tag) if not active.get(s) and s not in self.near)
+
+    def features(self) -> tuple[int, ...]:
+        out, n = set(self.near).union(self.own or (_slot("bias"),)), self
+        while n is not None:
+            out.update(n.added)
+            n = n.parent
+        return tuple(sorted(out))
+
+
 class Blocks(HTMLParser):
-    """Leaf blocks of a page as (text, own tag, ancestors' words, characters in links)."""
+    """Leaf blocks of a page as (text, innermost open tag, characters in links)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[str, tuple[tuple[str, tuple[str, ...]], ...], int]] = []
+        self.active: dict[int, int] = {}
+        self.root = Node(None, "", (), self.active)
+        self.stack: list[Node] = []
+        #: Where each tag stands on the stack, and where the tags of _SCOPE do.
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[tuple[str, Node, int]] = []
         self.buffer: list[str] = []
         self.linked = self.hidden = self.links = 0
-        self.where: tuple = ()
+        self.solid = False
+        self.where = self.root
 
     def flush(self) -> None:
         if self.buffer:
             text = " ".join("".join(self.buffer).split())
             if text:
                 self.blocks.append((text, self.where, min(self.linked, len(text))))
-            self.buffer, self.linked = [], 0
-
-    def _pop(self, at: int) -> None:
-        for tag, _ in self.stack[at:]:
-            self.hidden -= tag in HIDDEN
-            self.links -= tag == "a"
-        del self.stack[at:]
-
-    def _close(self, tags: frozenset[str], scope: frozenset[str]) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                self._pop(i)
-                return
-            if self.stack[i][0] in scope:
-                return
+            self.buffer, self.linked, self.solid = [], 0, False
+
+    def _push(self, tag: str, words: tuple[str, ...]) -> None:
+        if tag in _SCOPE:
+            self.scopes.append(len(self.stack))
+        self.at.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(Node(self.stack[-1] if self.stack else self.root, tag, words, self.active))
+        self.hidden += tag in HIDDEN
+        self.links += tag == "a"
+
+    def _pop(self, to: int) -> None:
+        while len(self.stack) > to:
+            n = self.stack.pop()
+            self.at[n.tag].pop()
+            if n.tag in _SCOPE:
+                self.scopes.pop()
+            for s in n.slots:
+                self.active[s] -= 1
+            self.hidden -= n.tag in HIDDEN
+            self.links -= n.tag == "a"
+
+    def _last(self, tags: tuple[str, ...]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def _close(self, tags: tuple[str, ...], scope: int) -> None:
+        """End the innermost of the tags, unless a tag of the scope stands between."""
+        if (i := self._last(tags)) > scope:
+            self._pop(i)
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCK:
             self.flush()
             if tag in _BREAKS_P:
-                self._close(frozenset(("p",)), _SCOPE)
+                self._close(("p",), self.scopes[-1] if self.scopes else -1)
             if tag == "li":
-                self._close(frozenset(("li",)), frozenset(("ul", "ol", "menu")))
+                self._close(("li",), self._last(("ul", "ol", "menu")))
             elif tag in ("td", "th"):
-                self._close(frozenset(("td", "th")), frozenset(("tr", "table")))
+                self._close(("td", "th"), self._last(("tr", "table")))
             elif tag == "tr":
-                self._close(frozenset(("tr",)), frozenset(("table",)))
+                self._close(("tr",), self._last(("table",)))
             elif tag == "body":
-                self._close(frozenset(("head",)), frozenset())
+                self._close(("head",), -1)
         elif tag == "br":
             self.buffer.append(" ")
         if tag in VOID:
@@ -95,9 +172,7 @@ class Blocks(HTMLParser):
         for name, value in attrs:
             if value and name in ("class", "id", "role"):
                 words += tuple(WORDS.findall(value.lower()))
-        self.stack.append((tag, words))
-        self.hidden += tag in HIDDEN
-        self.links += tag == "a"
+        self._push(tag, words)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in VOID or tag in BLOCK:
@@ -108,26 +183,22 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK:
             self.flush()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self._pop(i)
-                return
-            if self.stack[i][0] in _SCOPE and tag not in BLOCK:
-                return
+        i = self._last((tag,))
+        if i >= 0 and (tag in BLOCK or not self.scopes or self.scopes[-1] < i):
+            self._pop(i)
 
     def handle_data(self, data: str) -> None:
         if self.hidden:
             return
-        if not self.buffer:
-            self.where = tuple(self.stack)
-        elif not any(map(str.strip, self.buffer)):
-            self.where = tuple(self.stack)
+        if not self.solid:
+            self.where = self.stack[-1] if self.stack else self.root
+            self.solid = bool(data.strip())
         self.buffer.append(data)
         if self.links:
             self.linked += len(data)
 
     @classmethod
-    def of(cls, html: str | None) -> list[tuple[str, tuple, int]]:
+    def of(cls, html: str | None) -> list[tuple[str, Node, int]]:
         if not html:
             return []
         p = cls()
@@ -137,43 +208,18 @@ class Blocks(HTMLParser):
         return p.blocks
 
 
-def _slot(name: str) -> int:
-    h = 2166136261
-    for c in name.encode():
-        h = (h ^ c) * 16777619 & 0xFFFFFFFF
-    return (h ^ (h >> 15)) & ((1 << BITS) - 1)
-
-
-@functools.lru_cache(maxsize=100_000)
-def _place_features(where: tuple) -> tuple[int, ...]:
-    names = {"bias"}
-    depth = len(where)
-    # the innermost container says most about a block
-    for tag, words in reversed(where):
-        if words or tag in CONTAINERS:
-            names.add(f"near:{tag}")
-            names.update(f"near:w:{w}" for w in words)
-            break
-    for i, (tag, words) in enumerate(where):
-        names.add(f"in:{tag}")
-        names.update(f"w:{w}" for w in words)
-        if i == depth - 1:
-            names.add(f"own:{tag}")
-    return tuple(sorted({_slot(n) for n in names}))
-
-
 @functools.lru_cache(maxsize=10_000)
 def _text_features(size: int, share: int, stops: int) -> tuple[int, ...]:
     return tuple({_slot(f"size:{size}"), _slot(f"links:{share}"), _slot(f"stops:{stops}")})
 
 
-def features(blocks: list[tuple[str, tuple, int]]) -> list[tuple[int, ...]]:
-    """The active binary features of each block."""
-    out = []
-    for text, where, linked in blocks:
-        stops = min(3, sum(map(text.count, ".!?")))
-        out.append(_place_features(where) + _text_features(min(12, len(text).bit_length()), round(4 * linked / len(text)), stops))
-    return out
+def _of_text(text: str, linked: int) -> tuple[int, ...]:
+    return _text_features(min(12, len(text).bit_length()), round(4 * linked / len(text)), min(3, sum(map(text.count, ".!?"))))
+
+
+def features(blocks: list[tuple[str, Node, int]]) -> list[tuple[int, ...]]:
+    """The active binary features of each block, listed in full: for training."""
+    return [where.features() + _of_text(text, linked) for text, where, linked in blocks]
 
 
 class Field:
@@ -187,11 +233,40 @@ class Field:
         flat = np.fromiter((f for s in seq for f in s), np.int64, int(size.sum()))
         return np.add.reduceat(self.state[flat], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
 
+    def sums(self, blocks: list[tuple[str, Node, int]]) -> list[tuple[float, float]]:
+        """The emissions of a page's blocks, each tag's share added up once for all that is below it."""
+        if not hasattr(self, "pairs"):
+            self.pairs = self.state.tolist()
+        w, out = self.pairs, []
+        boxes: dict[int, tuple[float, float]] = {}
+        for text, where, linked in blocks:
+            if where.place is None:
+                way, n = [], where
+                while n is not None and n.total is None:
+                    way.append(n)
+                    n = n.parent
+                for n in reversed(way):
+                    x, y = n.parent.total if n.parent else (0.0, 0.0)
+                    n.total = x + sum([w[s][0] for s in n.added]), y + sum([w[s][1] for s in n.added])
+                if id(where.box) not in boxes:  # what a container adds, for all in it
+                    boxes[id(where.box)] = sum([w[s][0] for s in where.near]), sum([w[s][1] for s in where.near])
+                (x, y), (u, v), own = where.total, boxes[id(where.box)], where.own or (_slot("bias"),)
+                x += u - sum([w[s][0] for s in where.between]) + sum([w[s][0] for s in own])
+                y += v - sum([w[s][1] for s in where.between]) + sum([w[s][1] for s in own])
+                where.place = x, y
+            x, y = where.place
+            for s in _of_text(text, linked):
+                x, y = x + w[s][0], y + w[s][1]
+            out.append((x, y))
+        return out
+
     def decode(self, seq: list[tuple[int, ...]]) -> list[int]:
         """Viterbi: the most likely labels of a page's blocks."""
-        if not seq:
+        return self.viterbi(self.emissions(seq).tolist()) if seq else []
+
+    def viterbi(self, e: list[tuple[float, float]]) -> list[int]:
+        if not e:
             return []
-        e = self.emissions(seq).tolist()
         (a, b), (c, d) = self.move.tolist()
         s0, s1 = self.first[0] + e[0][0], self.first[1] + e[0][1]
         back = []
@@ -266,7 +341,7 @@ def trained(pages: int = 1500, seed: int = 11) -> Field:
 
 def main_text(field: Field, html: str | None) -> str:
     blocks = Blocks.of(html)
-    return " ".join([b[0] for b, label in zip(blocks, field.decode(features(blocks)), strict=True) if label])
+    return " ".join([b[0] for b, label in zip(blocks, field.viterbi(field.sums(blocks)), strict=True) if label])
 
 
 def extract(pages: DataFrame, field: Field | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

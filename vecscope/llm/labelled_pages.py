@@ -69,10 +69,13 @@ class Writer:
 
     def menu(self) -> None:
         def fill() -> None:
-            if self.rng.random() < 0.8:
+            kind = self.rng.random()
+            if kind < 0.75:
                 self.html.append("<ul>")
                 self.links(self.rng.randint(3, 9))
                 self.html.append("</ul>")
+            elif kind < 0.85:
+                self.block("span", " ".join(f'<a href="/{w}">{w}</a>' for w in [self.word() for _ in range(self.rng.randint(2, 7))]), 0)
             else:
                 self.links(self.rng.randint(2, 5), "div")
 
@@ -116,11 +119,20 @@ class Writer:
         inner = r.random() < 0.25
         self.html.append(f"<{tag}{attr}>" + (f'<div class="{r.choice(BODY)}">' if inner else ""))
         if r.random() < 0.85:
+            headed = r.random() < 0.15
+            self.html.append("<header>" if headed else "")
             self.block("h1", self.text(1, 12), 1)
+            self.html.append("</header>" if headed else "")
         for _ in range(r.choice((r.randint(0, 3), r.randint(1, 14)))):
             p = r.random()
-            if p < 0.7:
+            if p < 0.62:
                 self.block("p", self.text(1, r.choice((3, 90))), 1)
+            elif p < 0.7:
+                self.html.append(r.choice(("<section>", "<section>", "<div>", "<figure>")))
+                tag = self.html[-1][1:-1]
+                for _ in range(r.randint(1, 3)):
+                    self.block("figcaption" if tag == "figure" else "p", self.text(1, 60), 1)
+                self.html.append(f"</{tag}>")
             elif p < 0.77:
                 self.block("h2", self.text(1, 8), 1)
             elif p < 0.84:
