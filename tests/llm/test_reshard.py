@@ -99,7 +99,7 @@ def test_query_writes_and_reads_the_shards(spark, sf, monkeypatch):
 
     monkeypatch.setattr(registered, "Scratch", Kept)
     got = registered.op7_resharding(spark, sf).collect()
-    files = spark.read.parquet(made[0].path("new")).select("doc_id", "text", "shard", "slot").collect()
+    files = rs.numbered(spark, made[0].path("new"), spark.read.parquet(made[0].path("new")).schema).select("doc_id", "text", "shard", "slot").collect()
     read = {(r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in files}
     changed = {x for r in got if r["old_shard"] != r["shard"] for x in (r["old_shard"], r["shard"])}
     want = [(r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["slot"]) for r in got if r["shard"] in changed]
@@ -125,3 +125,25 @@ def test_whole_table(spark, sf):
     check(rows, got, 16)
     sizes = [sum(x["size"] for x in got if x["shard"] == s) for s in range(16)]
     assert max(sizes) < 1.05 * sum(sizes) / 16 and all(r["law"] == "bytes" and r["grown_shard"] is None for r in got)
+
+
+def test_rows_that_lie_nowhere(docs):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "t" * 20) for i in range(600)]
+    old = F.when(F.col("doc_id") < 100, 0).when(F.col("doc_id") < 200, 1).when(F.col("doc_id") < 250, 7).when(F.col("doc_id") < 300, -1)
+    got = rs.reshard(docs(rows), 3, 2, old=old).collect()
+    check(rows, got, 3)
+    assert all(r["old_shard"] == (0 if r["doc_id"] < 100 else 1 if r["doc_id"] < 200 else None) for r in got)
+    assert all(sum(r["shard"] == s for r in got) == 200 for s in range(3))
+    assert all(r["shard"] == r["old_shard"] for r in got if r["old_shard"] is not None)
+    assert rs.plan([5, 5], [4, 4, 7], 5).affected == [0, 1, 2] and rs.plan([5, 5], [4, 4, 7], 5).moved == 7
+
+
+def test_equal_rows_fill_many_blocks(docs, monkeypatch):
+    monkeypatch.setattr(rs, "BLOCK_ROWS", 20)
+    rows = [(7, "same text")] * 900 + [(i, "t" * (i % 50)) for i in range(300)]
+    got = rs.reshard(docs(rows), 5, 3).collect()
+    check(rows, got, 5)
+    sizes = [sum(x["size"] for x in got if x["shard"] == s) for s in range(5)]
+    assert max(sizes) - min(sizes) <= 100

@@ -1,32 +1,44 @@
 """Resharding by minimum-cost flow: the block transfers that move the fewest bytes to new capacities.
 
-Rows lie in old shards and, within one, in blocks of a size class, large rows first.  Only the byte totals of blocks
-reach the driver, at most BLOCKS of them whatever the corpus.  Old sizes supply and new capacities demand a flow in
-which bytes that stay cost nothing and bytes that move cost one each; its solution deals every old shard's blocks, in
-order, to the new shards.  Blocks travel whole; the few that a border crosses are split between rows.  As large rows
-come first and stay, borders fall among small rows and sizes come out nearly equal.
+Rows lie in old shards and, within one, in blocks of a size class, large rows first, numbered by a hash of the row, so
+that a class has as many blocks as its rows ask for.  Only the byte totals of blocks reach the driver, at most BLOCKS
+of them whatever the corpus.  Old sizes supply and new capacities demand a flow in which bytes that stay cost nothing
+and bytes that move cost one each; its solution deals every old shard's blocks, in order, to the new shards.  Blocks
+travel whole; only the few that a border crosses are put in order, and are split at rows that the driver then names.
+As large rows come first and stay, borders fall among small rows and sizes come out nearly equal.
+
+So where a row goes follows from the row and from two tables of bounded size, without a join.  Affected shards are
+rewritten accordingly: rows that stay are written by the tasks that read them, and only rows that move are shuffled,
+once.  A row's slot is its place among the rows of its shard's files.
+
+The law is `bytes`: groups of equal texts may be split between shards, as a group may hold more than a shard's share.
 
 Defined results
   null text            size 1, checksum of the empty string
-  null ids             rows like others: they are dealt by their checksum
+  null ids             rows like others: they are dealt by a number that they get when they are stored
   very long texts      a row is never split; one larger than a capacity fills a shard
-  ties, repeated rows  rows that agree in everything are interchangeable; each gets a slot of its own
+  ties, repeated rows  rows that agree in everything are interchangeable; each gets a slot of its own, and as they are
+                       told apart by their stored numbers, they fill as many blocks as other rows do
+  old shard null or    the row lies nowhere yet: it counts among the bytes that move wherever it goes, and its
+  out of range         old_shard is null
   empty table          no rows
-  extra columns        `reshard` returns its own columns only; `rewrite` keeps the input's
+  extra columns        `reshard` returns its own columns only; `rewrite` and `reshard_files` keep the input's in files
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import Scratch
 
 BLOCKS = 65_536
 BLOCK_ROWS = 2_000
 CLASSES = 40
+BROADCAST_FILES = 200_000
 
 
 def min_cost_flow(supply: list[int], demand: list[int], cost: list[list[int]]) -> list[list[int]]:
@@ -84,22 +96,23 @@ class Plan:
     """What a solved resharding does: bytes from each old to each new shard, and the borders that follow."""
 
     flow: list[list[int]]
+    homes: int
 
     @property
     def moved(self) -> int:
-        return sum(b for i, row in enumerate(self.flow) for j, b in enumerate(row) if i != j)
+        return sum(b for i, row in enumerate(self.flow) for j, b in enumerate(row) if i != j or i >= self.homes)
 
     @property
     def affected(self) -> list[int]:
         """Shards whose content changes."""
-        n, m = len(self.flow), len(self.flow[0])
-        out = {i for i in range(n) for j in range(m) if i != j and self.flow[i][j]}
-        return sorted({j for i in range(n) for j in range(m) if i != j and self.flow[i][j]} | out)
+        moves = [(i, j) for i, row in enumerate(self.flow) for j, b in enumerate(row) if b and (i != j or i >= self.homes)]
+        return sorted({j for _, j in moves} | {i for i, _ in moves if i < self.homes})
 
     def borders(self, old: int) -> list[tuple[int, int]]:
         """(upper border in bytes, new shard) of an old shard's bytes in order; what stays comes first."""
         row = self.flow[old]
-        order = [old] * (old < len(row)) + [j for j in range(len(row)) if j != old]
+        home = old < len(row) and old < self.homes
+        order = [old] * home + [j for j in range(len(row)) if j != old or not home]
         out, at = [], 0
         for j in order:
             if row[j]:
@@ -108,15 +121,94 @@ class Plan:
         return out
 
 
-def plan(sizes: list[int], capacities: list[int]) -> Plan:
-    cost = [[int(i != j) for j in range(len(capacities))] for i in range(len(sizes))]
-    return Plan(min_cost_flow(sizes, capacities, cost))
+def plan(sizes: list[int], capacities: list[int], nowhere: int = 0) -> Plan:
+    """The flow from old shards, and from `nowhere` bytes that lie in none, as a last supply without a home."""
+    supply = [*sizes, nowhere] if nowhere else sizes
+    cost = [[int(i != j or i >= len(sizes)) for j in range(len(capacities))] for i in range(len(supply))]
+    return Plan(min_cost_flow(supply, capacities, cost), len(sizes))
 
 
 def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (j < total % shards) for j in range(shards)]
 
 
+def _class(size) -> Column:
+    """Large rows first: the class falls as the size grows."""
+    return F.lit(CLASSES) - F.least(F.floor(F.log2(size.cast("double"))).cast("int"), F.lit(CLASSES - 1))
+
+
+@dataclass(frozen=True)
+class Placement:
+    """Where rows go: tables of the blocks of each (old, class), and of the targets of each block."""
+
+    plan: Plan
+    parts: DataFrame
+    targets: DataFrame
+
+    def of(self, rows: DataFrame, size: Column, old: Column, own: Column) -> DataFrame:
+        """`rows` with `shard_`; both tables have BLOCKS rows at most and are broadcast."""
+        d = rows.withColumns({"size_": size, "class_": _class(size), "from_": old, "own_": own})
+        d = d.join(F.broadcast(self.parts), ["from_", "class_"]).withColumn("part_", F.pmod(F.xxhash64("own_"), F.col("parts_")).cast("int"))
+        d = d.join(F.broadcast(self.targets), ["from_", "class_", "part_"])
+        passed = F.size(F.filter("upto_", lambda u: u < F.struct(F.col("size_").alias("size"), F.col("own_").alias("own"))))
+        return d.withColumn("shard_", F.get("target_", F.least(passed, F.size("target_") - 1))).select(*rows.columns, "shard_")
+
+
+def placement(rows: DataFrame, shards: int, old_shards: int, capacities: list[int] | None = None) -> Placement:
+    """Solve for rows (size, from_, own): from_ is 0 to old_shards - 1, or old_shards for rows that lie nowhere; own is a
+    long that differs in every row."""
+    spark = rows.sparkSession
+    per_class = rows.groupBy("from_", _class(F.col("size")).alias("class_")).agg(F.count("*").alias("n")).collect()  # (old_shards + 1) * CLASSES rows
+    n = sum(r["n"] for r in per_class)
+    block = max(BLOCK_ROWS, -(-n // BLOCKS))
+    parts = spark.createDataFrame([(r["from_"], r["class_"], -(-r["n"] // block)) for r in per_class] or [(0, 0, 1)], "from_ int, class_ int, parts_ int")
+    place = ["from_", "class_", "part_"]
+    dealt = rows.withColumn("class_", _class(F.col("size"))).join(F.broadcast(parts), ["from_", "class_"])
+    dealt = dealt.withColumn("part_", F.pmod(F.xxhash64("own"), F.col("parts_")).cast("int")).select(*place, "size", "own")
+    blocks = [tuple(r) for r in dealt.groupBy(*place).agg(F.sum("size").alias("bytes")).orderBy(*place).collect()]
+
+    sizes = [0] * (old_shards + 1)
+    for old, _, _, size in blocks:
+        sizes[old] += size
+    solved = plan(sizes[:-1], capacities or even_capacities(sum(sizes), shards), sizes[-1])
+    borders = [solved.borders(i) if i < len(solved.flow) else [] for i in range(old_shards + 1)]
+    at = [0] * (old_shards + 1)
+    whole, split = [], []
+    for old, c, p, size in blocks:
+        here = [(e - at[old], j) for e, j in borders[old] if e > at[old]] or [(0, borders[old][-1][1])]
+        if here[0][0] >= size or len(here) == 1:
+            whole.append((old, c, p, [], [here[0][1]]))
+        else:
+            split.append((old, c, p, [e for e, _ in here], [j for _, j in here]))
+        at[old] += size
+    if split:  # as many as there are borders at most
+        crossed = spark.createDataFrame(split, "from_ int, class_ int, part_ int, ends array<long>, to array<int>")
+        w = Window.partitionBy(*place).orderBy("size", "own").rowsBetween(Window.unboundedPreceding, 0)
+        inside = dealt.join(F.broadcast(crossed), place).withColumn("middle", F.sum("size").over(w) - F.col("size") / 2)  # a row goes where its middle lies
+        target = F.get("to", F.least(F.size(F.filter("ends", lambda u: u <= F.col("middle"))), F.size("to") - 1))
+        last = inside.groupBy(*place, target.alias("target")).agg(F.max(F.struct("size", "own")).alias("last")).collect()
+        by: dict[tuple, list] = {}
+        for r in last:
+            by.setdefault((r["from_"], r["class_"], r["part_"]), []).append((tuple(r["last"]), r["target"]))
+        whole += [(*k, [u for u, _ in sorted(v)], [t for _, t in sorted(v)]) for k, v in by.items()]
+    schema = "from_ int, class_ int, part_ int, upto_ array<struct<size:long,own:long>>, target_ array<int>"
+    return Placement(solved, parts, spark.createDataFrame(whole or [(0, 0, 0, [], [0])], schema))
+
+
+def numbered(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The rows of shard folders with `slot`: their place among the rows of their shard's files, in order of names."""
+    d = spark.read.schema(schema).parquet(path).select("*", F.col("_metadata.file_path").alias("file_"), F.col("_metadata.row_index").alias("nth_"))
+    files = d.groupBy("shard", "file_").agg(F.count("*").alias("n_"))
+    before = Window.partitionBy("shard").orderBy("file_").rowsBetween(Window.unboundedPreceding, -1)
+    first = files.withColumn("first_", F.coalesce(F.sum("n_").over(before), F.lit(0))).select("file_", "first_")
+    first = F.broadcast(first) if files.count() <= BROADCAST_FILES else first
+    return d.join(first, "file_").withColumn("slot", F.col("first_") + F.col("nth_")).drop("file_", "nth_", "first_")
+
+
+def _from(old: Column, old_shards: int) -> Column:
+    return F.when(old.between(0, old_shards - 1), old).otherwise(F.lit(old_shards)).cast("int")
+
+
 def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, key: str = "doc_id", text: str = "text", capacities: list[int] | None = None, identity: str | None = None) -> DataFrame:
     """(key, size, text_crc32, old_shard, shard, slot) for every row.
 
@@ -127,49 +219,14 @@ def reshard(docs: DataFrame, shards: int = 16, old_shards: int = 12, old=None, k
     scratch = Scratch(spark, "reshard")
     raw = F.coalesce(docs[text].cast("string"), F.lit(""))
     place = old if old is not None else F.pmod(F.xxhash64(docs[key]), F.lit(old_shards))
-    own = [docs[identity].alias("own")] if identity else []
-    rows = scratch.save(docs.select(docs[key].alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("crc"), place.cast("int").alias("old"), *own), "rows")
-    own = ["own"] if identity else []
-    n = rows.count()
-    per_class = max(1, min(BLOCKS // (old_shards * CLASSES), n // (old_shards * BLOCK_ROWS)))
-    # large rows first: the class falls as the size grows
-    size_class = F.lit(CLASSES) - F.least(F.floor(F.log2(F.col("size").cast("double"))).cast("int"), F.lit(CLASSES - 1))
-    rows = rows.withColumn("block", size_class * per_class + F.pmod(F.xxhash64("key", "crc"), F.lit(per_class)).cast("int"))
-    blocks = rows.groupBy("old", "block").agg(F.sum("size").alias("bytes")).orderBy("old", "block").collect()
-
-    sizes = [0] * old_shards
-    starts = []
-    for b in blocks:
-        starts.append((b["old"], b["block"], sizes[b["old"]]))
-        sizes[b["old"]] += b["bytes"]
-    solved = plan(sizes, capacities or even_capacities(sum(sizes), shards))
-    borders = [(i, [e for e, _ in b], [j for _, j in b]) for i in range(old_shards) if (b := solved.borders(i))]
-    start_table = spark.createDataFrame(starts or [(0, 0, 0)], "old int, block int, start long")
-    border_table = spark.createDataFrame(borders or [(0, [0], [0])], "old int, upto array<long>, target array<int>")
-
-    within = Window.partitionBy("old", "block").orderBy("size", "key", "crc")
-    placed = (
-        rows.withColumn("before", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-        .join(F.broadcast(start_table), ["old", "block"])  # at most BLOCKS rows
-        .join(F.broadcast(border_table), "old")
-        # a row goes where its middle lies
-        .withColumn("at", F.col("start") + F.col("before") + F.col("size") / 2)
-        .withColumn("shard", F.get("target", F.least(F.size(F.filter("upto", lambda u: u <= F.col("at"))), F.size("upto") - 1)))
-        .select("key", "size", "crc", "old", "block", "shard", *own)
-    )
-    placed = scratch.save(placed, "placed")
-    pieces = placed.groupBy("shard", "old", "block").agg(F.count("*").alias("n")).orderBy("shard", "old", "block").collect()
-    first, offsets = {}, []
-    for p in pieces:
-        offsets.append((p["shard"], p["old"], p["block"], first.get(p["shard"], 0)))
-        first[p["shard"]] = first.get(p["shard"], 0) + p["n"]
-    offset_table = spark.createDataFrame(offsets or [(0, 0, 0, 0)], "shard int, old int, block int, offset long")
-    number = Window.partitionBy("shard", "old", "block").orderBy("size", "key", "crc")
-    return (
-        placed.withColumn("nth", F.row_number().over(number))
-        .join(F.broadcast(offset_table), ["shard", "old", "block"])
-        .select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), F.col("old").alias("old_shard"), "shard", (F.col("offset") + F.col("nth") - 1).alias("slot"), *[F.col(c).alias(identity) for c in own])
-    )
+    own = docs[identity].cast("long") if identity else F.monotonically_increasing_id()
+    rows = docs.select(docs[key].alias("key"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("crc"), _from(place, old_shards).alias("from_"), own.alias("own"))
+    rows = scratch.save(rows, "rows")
+    placed = placement(rows, shards, old_shards, capacities).of(rows, F.col("size"), F.col("from_"), F.col("own")).withColumnRenamed("shard_", "shard")
+    placed.write.mode("overwrite").partitionBy("shard").parquet(scratch.path("placed"))
+    scratch.drop("rows")
+    old_shard = F.when(F.col("from_") < old_shards, F.col("from_")).alias("old_shard")
+    return numbered(spark, scratch.path("placed"), placed.schema).select(F.col("key").alias(key), "size", F.col("crc").alias("text_crc32"), old_shard, "shard", "slot", *([F.col("own").alias(identity)] if identity else []))
 
 
 def lay_out(docs: DataFrame, out: str, old_shards: int = 12, key: str = "doc_id") -> DataFrame:
@@ -180,24 +237,32 @@ def lay_out(docs: DataFrame, out: str, old_shards: int = 12, key: str = "doc_id"
     return docs.sparkSession.read.schema(d.schema).parquet(out)
 
 
-def reshard_files(docs: DataFrame, scratch: Scratch, shards: int = 16, old_shards: int = 12, key: str = "doc_id", text: str = "text", rows_per_file: int = 10_000) -> DataFrame:
+def reshard_files(docs: DataFrame, scratch: Scratch, shards: int = 16, old_shards: int = 12, key: str = "doc_id", text: str = "text", rows_per_file: int = 100_000) -> DataFrame:
     """(key, size, text_crc32, old_shard, shard, slot) as read from the files of the new shards.
 
-    Old shards are written, planned and rewritten where they change; sizes and checksums are those of the texts read back.
+    Old shards are written, planned and rewritten where they change; sizes and checksums are those of the texts read
+    back.  Shards that don't change are read from their old files.
     """
+    spark = docs.sparkSession
     old = lay_out(docs, scratch.path("old"), old_shards, key)
-    placed = scratch.save(reshard(old, shards, old_shards, F.col("shard"), key, text, identity="row_"), "placement")
-    affected = rewrite(old, placed, scratch.path("new"), key, rows_per_file, text, "row_")
     raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    read = lambda d, was: d.select(key, (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.col(was).alias("old_shard"), "shard", "slot")
-    # files that stay as they are hold no slots
-    stay = placed.where(~F.col("shard").isin(affected)).select("row_", "slot")
-    out = read(old.where(~F.col("shard").isin(affected)).join(stay, "row_"), "shard")
+    size = (F.octet_length(raw) + 1).cast("long")
+    rows = scratch.save(old.select(size.alias("size"), F.col("shard").alias("from_"), F.col("row_").alias("own")), "rows")
+    solved = placement(rows, shards, old_shards)
+    # a row for each two shards; a flow of fewer bytes than a row has moves none
+    going = solved.of(rows, F.col("size"), F.col("from_"), F.col("own")).where("shard_ <> from_").groupBy("from_", "shard_").count().collect()
+    affected = sorted({s for r in going for s in r[:2]})
+    read = lambda d, was: d.select(key, size.alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.col(was).alias("old_shard"), "shard", "slot")
+    stay = read(numbered(spark, scratch.path("old"), old.schema).where(~F.col("shard").isin(affected)), "shard")
     if not affected:
-        return out
-    kept = ", ".join(f"`{f.name if f.name != 'shard' else 'shard_in'}` {f.dataType.simpleString()}" for f in old.schema)
-    new = docs.sparkSession.read.schema(f"{kept}, slot long, shard int").parquet(scratch.path("new"))
-    return read(new, "shard_in").unionByName(out)
+        return stay
+    files = {j: -(-sum(r["count"] for r in going if r["shard_"] == j) // rows_per_file) for j in {r["shard_"] for r in going}}
+    dealt = solved.of(old, size, F.col("shard"), F.col("row_")).where(F.col("shard").isin(affected)).withColumnsRenamed({"shard": "shard_in", "shard_": "shard"})
+    part = F.pmod(F.xxhash64("row_"), F.get(F.array(*[F.lit(files.get(j, 1)) for j in range(shards)]), F.col("shard")))
+    moving = dealt.where("shard <> shard_in").withColumn("part_", part).repartition("shard", "part_").drop("part_")
+    whole = dealt.where("shard = shard_in").unionByName(moving)
+    whole.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(scratch.path("new"))
+    return read(numbered(spark, scratch.path("new"), whole.schema), "shard_in").unionByName(stay)
 
 
 def rewrite(docs: DataFrame, placement: DataFrame, out: str, key: str = "doc_id", rows_per_file: int = 500_000, text: str = "text", identity: str | None = None) -> list[int]:
