@@ -32,12 +32,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import spread
-from .common import Scratch
+from .common import Scratch, file_system
 
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 256 << 20
@@ -53,12 +52,6 @@ _MANIFEST = "page_id long, key string, file string, offset long, length long"
 _DIRECTORY = "first_key string, first_id long, file string, offset long, length long, n_lines long"
 
 
-def file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def surt(url: Column) -> Column:
     """Reversed-host key of a url: com,example,www)/path?query; '' for null or no ://."""
     rest = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^[^:/?#]*://(.*)$", 1)
