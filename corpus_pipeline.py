@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vecscope.llm import bpe, decontaminate, near_dedup, pii, quality_rules
-from vecscope.llm.common import Scratch, table
+from vecscope.llm.common import Scratch, scratch_scope, table
 
 #: Near-duplicates: five words and a similarity of 0.8 or more; the same share of an item's shingles counts as a leak.
 PERCENT = 80
@@ -54,7 +54,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     before = None
     for name, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir), name)
+        with scratch_scope():  # what a stage kept for itself goes with it
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
         if before is not None:
             scratch.drop(before)
         before = name
