@@ -1,7 +1,8 @@
 """How hard a query is on a graph: delta0, minimum effort and its variants, and the least degree K0.
 
 For each query one row holds the first R ranks of its neighbour list with the out-neighbours of each; all kernels read
-that row alone, so the only shuffle is by query.  R starts small and grows for the queries that need more.
+that row alone, so the only shuffle is by query.  R starts small and grows for the queries that need more; `Lists` finds
+only as many neighbours as R asks for.  The adjacency of the graph is stored once and read in every step.
 
 delta0 is found through bottlenecks rather than by growing a prefix: b(s, t) is the least, over paths from s to t, of
 the largest rank on the path, and delta0 = max(k, p-th least over s of (r-th least over t of b(s, t))).
@@ -20,8 +21,12 @@ from pyspark.sql import functions as F
 
 from ..plans.tables import spread
 from .graphs import adjacency
+from .knn import exact_knn
+from .stats import _cut
 
 INF = math.inf
+#: Ranks that are tried in turn; None stands for all.
+RANKS = (100, 400, 1600, 6400, 25_600, None)
 
 
 class Prefix:
@@ -289,12 +294,32 @@ def unbounded_effort_of(x: Prefix, k: int, r: int, p: int) -> int:
 
 
 # -- over tables ----------------------------------------------------------------------------------------------------
-def prefixes(gt: DataFrame, edges: DataFrame, max_rank: int | None = None) -> DataFrame:
-    """(q_id, ids, outs, total): one row for each query with its first ranks and their out-lists."""
-    total = gt.groupBy("q_id").agg(F.max("rank").cast("long").alias("total"))
-    g = gt if max_rank is None else gt.where(F.col("rank") <= max_rank)
-    g = g.select("q_id", "rank", "id").join(total, "q_id")
-    rows = g.join(adjacency(edges).withColumnRenamed("src", "id"), "id", "left")
+class Lists:
+    """Neighbour lists of the whole base, or of `depth` ranks, that are only searched as deep as they are read."""
+
+    def __init__(self, base: DataFrame, query: DataFrame, depth: int | None = None):
+        self.base, self.query = base, query
+        n = base.where("vec_id IS NOT NULL AND v IS NOT NULL").count()
+        self.total = min(n, depth) if depth else n
+
+    def first(self, n: int | None, only: DataFrame | None = None) -> DataFrame:
+        """(q_id, rank, id, total) of the first n ranks; only(q_id): of those queries."""
+        q = self.query if only is None else self.query.join(only, "q_id", "left_semi")
+        gt = exact_knn(self.base, q, min(n or self.total, self.total) or 1)
+        return gt.select("q_id", "rank", "id", F.lit(self.total).cast("long").alias("total"))
+
+
+def _first(gt: DataFrame | Lists, n: int | None, only: DataFrame | None = None) -> DataFrame:
+    if isinstance(gt, Lists):
+        return gt.first(n, only)
+    g = gt if only is None else gt.join(only, "q_id", "left_semi")
+    total = g.groupBy("q_id").agg(F.max("rank").cast("long").alias("total"))
+    return (g if n is None else g.where(F.col("rank") <= n)).select("q_id", "rank", "id").join(total, "q_id")
+
+
+def prefixes(gt: DataFrame | Lists, lists: DataFrame, max_rank: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(q_id, ids, outs, total): one row for each query with its first ranks and their out-lists; lists(src, dsts)."""
+    rows = _first(gt, max_rank, only).join(lists.withColumnRenamed("src", "id"), "id", "left")
     # dealt by query once; the grouping below needs no further exchange
     packed = spread(rows, "q_id").groupBy("q_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "id", F.coalesce("dsts", F.array().cast("array<bigint>")).alias("dsts")))).alias("p"), F.max("total").alias("total")
@@ -317,18 +342,21 @@ def _judged(rows: DataFrame, names: tuple[str, ...], judge: Callable[..., tuple[
     return rows.select("q_id", "ids", "outs", "total", *extra).mapInArrow(run, "q_id long, " + ", ".join(f"{n} long" for n in names))
 
 
-def _growing(gt: DataFrame, edges: DataFrame, ranks: tuple[int | None, ...], names: tuple[str, ...], judge: Callable[..., tuple[int | None, ...]]) -> DataFrame:
+def _growing(gt: DataFrame | Lists, edges: DataFrame, ranks: tuple[int | None, ...], names: tuple[str, ...], judge: Callable[..., tuple[int | None, ...]]) -> DataFrame:
     """Judge all queries on their first ranks; those that give None first are judged again with more."""
-    done, left = None, gt
+    done, open_, lists = None, None, _cut(adjacency(edges))
     for step, n in enumerate(ranks):
-        found = _judged(prefixes(left, edges, n), names, judge)
+        found = _judged(prefixes(gt, lists, n, open_), names, judge)
         if step < len(ranks) - 1:
-            found = found.persist()  # a few numbers for each query, used twice
-            if not found.where(F.col(names[0]).isNull()).limit(1).count():
-                return found if done is None else done.union(found)
-            left = left.join(found.where(F.col(names[0]).isNull()).select("q_id"), "q_id", "left_semi")
+            found = _cut(found)  # a few numbers for each query, used twice
+            open_ = found.where(F.col(names[0]).isNull()).select("q_id")
+            last = open_.isEmpty()
             found = found.where(F.col(names[0]).isNotNull())
+        else:
+            last = True
         done = found if done is None else done.union(found)
+        if last:
+            return done
     return done
 
 
@@ -337,7 +365,7 @@ def _settled(x: Prefix, k: int, r: int, p: int) -> int | None:
     return delta0_of(x, k, r, p) or (x.total + 1 if len(x.ids) >= x.total else None)
 
 
-def delta0(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int, ranks: tuple[int | None, ...] = (100, 400, None), cadence: bool = False) -> DataFrame:
+def delta0(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int, ranks: tuple[int | None, ...] = RANKS, cadence: bool = False) -> DataFrame:
     """(q_id, delta0): the least prefix of the neighbour list in which p of the k nearest reach r of them.
 
     Never found: one more than the list's length.
@@ -352,11 +380,11 @@ def delta0(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int, ranks: tuple
 def minimum_effort(gt: DataFrame, edges: DataFrame, delta: DataFrame, k: int, r: int, p: int, name: str = "me", **how) -> DataFrame:
     """(q_id, me) inside each query's delta0 ranks; `how` as in effort_of."""
     inside = gt.join(delta.select("q_id", F.col("delta0").alias("m")), "q_id").where(F.col("rank") <= F.col("m")).select("q_id", "rank", "id")
-    rows = prefixes(inside, edges).join(delta.select("q_id", F.col("delta0").alias("m")), "q_id")
+    rows = prefixes(inside, adjacency(edges)).join(delta.select("q_id", F.col("delta0").alias("m")), "q_id")
     return _judged(rows, (name,), lambda x, m: (effort_of(x, k, r, p, m, **how),), ("m",))
 
 
-def hardness(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int, ranks: tuple[int | None, ...] = (100, 400, None), **how) -> DataFrame:
+def hardness(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int, ranks: tuple[int | None, ...] = RANKS, **how) -> DataFrame:
     """(q_id, delta0, me): delta0 and the minimum effort in it, both from one reading of each query's ranks.
 
     With the edges of an occlusion-pruned graph this is a measure of the query alone.
@@ -369,15 +397,15 @@ def hardness(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int, ranks: tup
     return _growing(gt, edges, ranks, ("delta0", "me"), judge)
 
 
-def effort_fixed_delta(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int, delta: int, **how) -> DataFrame:
+def effort_fixed_delta(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int, delta: int, **how) -> DataFrame:
     """(q_id, me) inside the first k + delta ranks."""
-    return _judged(prefixes(gt, edges, k + delta), ("me",), lambda x: (effort_of(x, k, r, p, k + delta, **how),))
+    return _judged(prefixes(gt, adjacency(edges), k + delta), ("me",), lambda x: (effort_of(x, k, r, p, k + delta, **how),))
 
 
-def effort_unbounded(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int) -> DataFrame:
-    return _judged(prefixes(gt, edges), ("me",), lambda x: (unbounded_effort_of(x, k, r, p),))
+def effort_unbounded(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int) -> DataFrame:
+    return _judged(prefixes(gt, adjacency(edges)), ("me",), lambda x: (unbounded_effort_of(x, k, r, p),))
 
 
-def k0(gt: DataFrame, edges: DataFrame, k: int, r: int, p: int, beta: float = 1.0) -> DataFrame:
+def k0(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int, beta: float = 1.0) -> DataFrame:
     """(q_id, k0); null where no list length suffices."""
-    return _judged(prefixes(gt, edges, math.floor((1 + beta) * k)), ("k0",), lambda x: (k0_of(x, k, r, p, beta),))
+    return _judged(prefixes(gt, adjacency(edges), math.floor((1 + beta) * k)), ("k0",), lambda x: (k0_of(x, k, r, p, beta),))

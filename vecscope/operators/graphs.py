@@ -51,22 +51,42 @@ def fold(dist: np.ndarray, vectors: np.ndarray, test: Callable, cap: int | None
 
 
 def prune(candidates: DataFrame, base: DataFrame, method: str = "mrng", alpha: float = 60.0, tau: float = 0.01, cap: int | None = None) -> DataFrame:
-    """edges(src, pos, dst) from candidate edges (src, pos, dst, dist)."""
-    c = candidates.where("src <> dst").join(base.select(F.col("vec_id").alias("dst"), F.col("v").cast("array<double>").alias("v")), "dst")
-    lists = spread(c, "src").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("dist", "dst", "v"))).alias("c"))
+    """edges(src, pos, dst) from candidate edges (src, pos, dst, dist).
+
+    Below the bound of a broadcast, which is measured, vectors are sent once and candidates travel as ids; beyond it
+    each candidate brings its vector.
+    """
+    c = candidates.where("src <> dst")
+    size = base.agg(F.sum(F.size("v"))).first()[0] or 0
+    sent = None
+    if size * 8 <= knn.BROADCAST_BYTES:
+        rows = base.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("v").cast("array<double>").alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL").toArrow().sort_by("vec_id")
+        sent = base.sparkSession.sparkContext.broadcast((rows["vec_id"].to_numpy(), knn._vectors(rows["v"].combine_chunks()) if rows.num_rows else np.zeros((0, 0))))
+        near = F.struct(F.col("dist"), F.col("dst"))
+    else:
+        c = c.join(base.select(F.col("vec_id").alias("dst"), F.col("v").cast("array<double>").alias("v")), "dst")
+        near = F.struct("dist", "dst", "v")
+    lists = spread(c, "src").groupBy("src").agg(F.sort_array(F.collect_list(near)).alias("c"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = occluded(method, alpha, tau)
+        known, x = sent.value if sent else (None, None)
         for batch in batches:
             src, pos, dst = [], [], []
             for s, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = c.values
-                ids = c.field("dst").to_numpy()
-                kept = ids[fold(c.field("dist").to_numpy(), knn._vectors(c.field("v")), test, cap)]
+                ids, dist = c.field("dst").to_numpy(), c.field("dist").to_numpy()
+                if sent:
+                    at = np.searchsorted(known, ids)
+                    there = (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == ids) if len(known) else np.zeros(len(ids), bool)
+                    ids, dist, v = ids[there], dist[there], x[at[there]] if len(known) else x
+                else:
+                    v = knn._vectors(c.field("v"))
+                kept = ids[fold(dist, v, test, cap)]
                 src.append(np.full(len(kept), s))
                 pos.append(np.arange(len(kept)))
                 dst.append(kept)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0), t) for x, t in ((src, pa.int64()), (pos, pa.int32()), (dst, pa.int64()))], ["src", "pos", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y) if y else np.zeros(0), t) for y, t in ((src, pa.int64()), (pos, pa.int32()), (dst, pa.int64()))], ["src", "pos", "dst"])
 
     return lists.mapInArrow(run, "src long, pos int, dst long")
 
@@ -181,14 +201,23 @@ def nsw_graph(base: DataFrame, k: int = 16, ef: int = 64, shards: int = 1) -> Da
     return _sequential(base, build, shards)
 
 
-def hnsw_graph(base: DataFrame, m: int = 8, ef: int = 64, seed: int = 3, plain: bool = False, shards: int = 1) -> DataFrame:
-    """edges (level, src, pos, dst) of a hierarchical graph; `plain` puts every vector on level 0 only."""
+def layered_graph(base: DataFrame, m: int = 8, ef: int = 64, seed: int = 3, plain: bool = False, shards: int = 1) -> DataFrame:
+    """(level, src, pos, dst) of a hierarchical graph; a row of pos -1 on the highest level names the entry."""
     from .search import Hierarchy
 
     def build(ids: np.ndarray, x: np.ndarray) -> list[tuple[int, int, int, int]]:
         h = Hierarchy(x, m, ef, seed, plain)
         for i in range(len(ids)):
             h.insert(i)
-        return [(lv, int(ids[i]), p, int(ids[j])) for lv, nbrs in enumerate(h.layers) for i, ns in sorted(nbrs.items()) for p, j in enumerate(ns)]
+        entry = [(len(h.layers) - 1, int(ids[h.entry]), -1, int(ids[h.entry]))] if len(ids) else []
+        return entry + [(lv, int(ids[i]), p, int(ids[j])) for lv, nbrs in enumerate(h.layers) for i, ns in sorted(nbrs.items()) for p, j in enumerate(ns)]
 
     return _sequential(base, build, shards)
+
+
+def hnsw_graph(base: DataFrame, m: int = 8, ef: int = 64, seed: int = 3, plain: bool = False, shards: int = 1) -> DataFrame:
+    """edges (level, src, pos, dst) of a hierarchical graph; `plain` puts every vector on level 0 only.
+
+    A shard is one task: with one shard, the whole base is inserted by one.
+    """
+    return layered_graph(base, m, ef, seed, plain, shards).where("pos >= 0")

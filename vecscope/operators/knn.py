@@ -19,6 +19,7 @@ from ..functions import vectors as V
 
 BLOCK = 4096
 BROADCAST_BYTES = 128 << 20
+EXPRESSION_PAIRS = 50_000_000
 
 
 def _vectors(col: pa.Array) -> np.ndarray:
@@ -78,6 +79,7 @@ def _pairs(base: DataFrame, query: DataFrame) -> DataFrame:
 
 def exact_knn(base: DataFrame, query: DataFrame, k: int, metric: str = "l2", exclude_self: bool = False, engine: str = "arrow") -> DataFrame:
     """gt(q_id, rank, id, dist): the k nearest base vectors of each query, rank from 1, by distance and then id."""
+    # every query meets every base vector: the work is their product at any size; graph searches measure far fewer
     if engine == "sql":
         return _knn_sql(base, query, k, metric, exclude_self)
     pairs = _pairs(base, query)
@@ -132,7 +134,9 @@ def top_k(near: DataFrame, k: int) -> DataFrame:
 
 
 def _knn_sql(base: DataFrame, query: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    """The same by expressions only; for small queries."""
+    """The same by expressions only, for queries of up to EXPRESSION_PAIRS pairs, which are counted."""
+    if base.count() * query.count() > EXPRESSION_PAIRS:
+        raise ValueError("too many pairs for expressions: use the arrow engine")
     q = query.select("q_id", F.col("v").alias("qv"))
     pairs = base.select(F.col("vec_id").alias("id"), F.col("v").alias("xv")).crossJoin(q)
     if exclude_self:

@@ -19,9 +19,9 @@ def _at(rank: int, dist: str = "dist") -> Column:
 
 
 def _ratios(gt: DataFrame, k: int) -> DataFrame:
-    """The first k ranks with dk, the distance of the last."""
+    """The first k ranks with dk, the distance of the last of them, of fewer where a list is shorter."""
     first = gt.where(F.col("rank") <= k)
-    return first.join(first.groupBy("q_id").agg(_at(k).alias("dk")), "q_id")
+    return first.join(first.groupBy("q_id").agg(F.max_by("dist", "rank").alias("dk")), "q_id")
 
 
 def lid_mle(gt: DataFrame, k: int) -> DataFrame:

@@ -25,7 +25,7 @@ from ..plans.tables import spread
 from .knn import _vectors
 from .stats import _cut
 
-BROADCAST_BYTES = 1 << 30
+BROADCAST_BYTES = 1 << 28
 AHEAD = 32
 
 
@@ -34,7 +34,7 @@ class Graph:
     """Vectors with neighbour lists; ids are positions.  Deleted ones are passed through but not returned."""
 
     x: np.ndarray
-    nbrs: list[list[int]]
+    nbrs: list[list[int]] | Rows
     deleted: set[int] = field(default_factory=set)
     size: int = 0
 
@@ -46,6 +46,20 @@ class Graph:
         return (d * d).sum(axis=1)
 
 
+class Rows:
+    """Neighbour lists as two arrays: where each begins, and all their entries."""
+
+    def __init__(self, n: int, src: np.ndarray, dst: np.ndarray):
+        """src is sorted; the entries of a list are in order."""
+        self.first, self.dst = np.searchsorted(src, np.arange(n + 1)), dst.astype(np.int64)
+
+    def __getitem__(self, u: int) -> list[int]:
+        return self.dst[self.first[u] : self.first[u + 1]].tolist()
+
+    def get(self, u: int, default: list[int]) -> list[int]:
+        return self[u]
+
+
 @dataclass
 class Found:
     """(distance, id) nearest first, distances measured, and expanded nodes."""
@@ -103,7 +117,8 @@ class Hierarchy:
         self.entry = -1
 
     def _graph(self, level: int) -> Graph:
-        return Graph(self.x, _Lists(self.layers[level]))  # type: ignore[arg-type]
+        lists = self.layers[level]
+        return Graph(self.x, _Lists(lists) if isinstance(lists, dict) else lists)  # type: ignore[arg-type]
 
     def choose(self, near: list[tuple[float, int]], cap: int) -> list[int]:
         """All if fewer than the cap; else those that no chosen one occludes, up to the cap."""
@@ -217,10 +232,8 @@ def _load(edges: DataFrame, base: DataFrame, deleted: DataFrame | None) -> tuple
     e = edges.select(F.col("src").cast("long"), F.col("pos").cast("long"), F.col("dst").cast("long")).toArrow().sort_by([("src", "ascending"), ("pos", "ascending")])
     known = np.isin(e["src"].to_numpy(), ids) & np.isin(e["dst"].to_numpy(), ids)
     src, dst = np.searchsorted(ids, e["src"].to_numpy()[known]), np.searchsorted(ids, e["dst"].to_numpy()[known])
-    cut = np.searchsorted(src, np.arange(len(ids) + 1))
-    nbrs = [dst[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
     gone = set() if deleted is None else set(np.searchsorted(ids, [r[0] for r in deleted.select("vec_id").collect()]).tolist())
-    return ids, Graph(x, nbrs, gone)
+    return ids, Graph(x, Rows(len(ids), src, dst), gone)
 
 
 def shards_needed(edges: DataFrame, base: DataFrame) -> int:
@@ -479,19 +492,25 @@ def search_trace(query: DataFrame, edges: DataFrame, base: DataFrame, k: int, ef
 def hnsw_search(query: DataFrame, base: DataFrame, k: int, ef: int, m: int = 8, ef_build: int = 64, seed: int = 3) -> DataFrame:
     """(q_id, rank, id, dist, ndc, hops) by descent through the layers, then a beam on the lowest.
 
-    Insertion is sequential: the whole base is sent to every executor at any size, and must fit there.
+    Insertion is sequential: one task inserts the whole base, once, and must hold it; its layers are stored and sent to
+    the executors as arrays.
     """
-    ids, graph = _load(base.select(F.col("vec_id").alias("src"), F.lit(0).alias("pos"), F.col("vec_id").alias("dst")).limit(0), base, None)
-
-    def judge(ids, graph, q, v, at):
-        if not hasattr(graph, "layers"):
-            graph.layers = Hierarchy(graph.x, m, ef_build, seed)
-            for i in range(len(graph.x)):
-                graph.layers.insert(i)
-        f = graph.layers.search(v, k, ef)
+    from .graphs import layered_graph
+
+    rows = _cut(layered_graph(base, m, ef_build, seed))
+    ids, graph = _load(rows.where("pos < 0").select("src", "pos", "dst").limit(0), base, None)
+    e = rows.toArrow().sort_by([("level", "ascending"), ("src", "ascending"), ("pos", "ascending")])
+    level, src, pos, dst = (e[c].to_numpy() for c in ("level", "src", "pos", "dst"))
+    src, dst = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+    layers = Hierarchy(graph.x, m, ef_build, seed)
+    layers.layers = [Rows(len(ids), src[at], dst[at]) for lv in range(int(level.max(initial=0)) + 1) for at in [(level == lv) & (pos >= 0)]]
+    layers.entry = int(src[pos < 0][0]) if len(src) else -1
+
+    def judge(ids, layers, q, v, at):
+        f = layers.search(v, k, ef)
         return [(q, r + 1, int(ids[i]), d, f.ndc, f.hops) for r, (d, i) in enumerate(f.found)]
 
-    return _over_queries(query, ids, graph, seed, None, "q_id long, rank int, id long, dist double, ndc long, hops long", judge)
+    return _over_queries(query, ids, layers, seed, None, "q_id long, rank int, id long, dist double, ndc long, hops long", judge)
 
 
 def count_target(share: float, k: int) -> int:

@@ -7,9 +7,11 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.tables import shared_dir
+
 
 def in_degree(edges: DataFrame, nodes: DataFrame, skip_self: bool = False) -> DataFrame:
     """(node, degree) for every node, 0 included."""
@@ -46,11 +48,22 @@ def edge_positions(edges: DataFrame, exact: DataFrame) -> DataFrame:
 def hub_density(edges: DataFrame, nodes: DataFrame, share: float) -> DataFrame:
     """(hubs, links, inner_links, density): links of the top share of nodes by in-degree that stay among them.
 
-    Ties at the border go to the lesser id; the border is the only thing that a sort of all degrees decides.
+    Ties at the border go to the lesser id.  The border comes from counts by degree; only the nodes on it are put in
+    order, ranges of ids first.
     """
     d = in_degree(edges, nodes)
     n = nodes.count()
-    hubs = d.orderBy(F.desc("degree"), "node").limit(max(1, int(n * share))).select("node")
+    want = max(1, int(n * share))
+    counts = d.groupBy("degree").count().withColumn("above", F.coalesce(F.sum("count").over(Window.orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    border = counts.where(F.col("above") < want).orderBy("degree").first()  # one row for each degree
+    if border is None:
+        hubs = d.select("node").limit(0)
+    else:
+        tied, left = d.where(F.col("degree") == border["degree"]).select("node"), want - border["above"]
+        part = F.floor(F.col("node") / 65_536)
+        sizes = tied.groupBy(part.alias("part")).count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        placed = tied.withColumn("part", part).withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy("node"))).join(sizes, "part")
+        hubs = d.where(F.col("degree") > border["degree"]).select("node").union(placed.where(F.col("before") + F.col("nth") <= left).select("node"))
     out = edges.join(hubs.withColumnRenamed("node", "src"), "src", "left_semi")
     inner = out.join(hubs.withColumnRenamed("node", "dst"), "dst", "left_semi")
     counts = hubs.agg(F.count("*").alias("hubs")).crossJoin(out.agg(F.count("*").alias("links"))).crossJoin(inner.agg(F.count("*").alias("inner_links")))
@@ -74,10 +87,11 @@ def skewness(df: DataFrame, col: str) -> DataFrame:
 def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: int = 20, every: int = 5) -> DataFrame:
     """(node, rank) after a fixed number of rounds; lineage is cut by a checkpoint every few rounds."""
     n = nodes.count()
+    edges = _cut(edges.select("src", "dst"))
     deg = edges.groupBy("src").agg(F.count("*").alias("deg"))
-    links = edges.select("src", "dst").join(deg, "src").persist()
-    ids = nodes.select(F.col("vec_id").alias("node")).persist()
-    sinks = ids.join(deg.select(F.col("src").alias("node")), "node", "left_anti").persist()
+    links = _cut(edges.select("src", "dst").join(deg, "src"))
+    ids = _cut(nodes.select(F.col("vec_id").alias("node")))
+    sinks = _cut(ids.join(deg.select(F.col("src").alias("node")), "node", "left_anti"))
     ranks = ids.withColumn("rank", F.lit(1.0 / max(1, n)))
     for step in range(rounds):
         lost = ranks.join(sinks, "node", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
@@ -89,12 +103,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, alpha: float = 0.85, rounds: in
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        set_dir = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecscope-")
-        spark.sparkContext.setCheckpointDir(set_dir)
+    """df, computed and stored once in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -154,9 +164,10 @@ def box_summary(df: DataFrame, col: str, by: list[str] | None = None) -> DataFra
     """Quartiles and whiskers, the extreme values within 1.5 times the quartile distance, for each group."""
     by = by or []
     c = F.col(col).cast("double")
-    q = df.groupBy(*by).agg(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    # equal values are counted first, so a group takes as much memory as it has values
+    q = df.groupBy(*by, c.alias("x_")).agg(F.count("*").alias("n_")).groupBy(*by).agg(F.percentile("x_", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("n_")).alias("q"))
     q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
-    joined = df.join(F.broadcast(q), by) if by else df.crossJoin(F.broadcast(q))
+    joined = df.join(q, by) if by else df.crossJoin(F.broadcast(q))
     gap = 1.5 * (F.col("q3") - F.col("q1"))
     inside = c.between(F.col("q1") - gap, F.col("q3") + gap)
     return joined.groupBy(*by, "q1", "median", "q3").agg(F.min(F.when(inside, c)).alias("low"), F.max(F.when(inside, c)).alias("high"), F.count_if(~inside).alias("outliers"))

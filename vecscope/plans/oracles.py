@@ -39,10 +39,10 @@ TESTS = {
 
 def edges(method: str = "mrng") -> str:
     return f"""{kg()},
-cand AS (SELECT src, list(struct_pack(dst := dst, d := d, v := v) ORDER BY pos) AS c FROM kg JOIN base ON base.id = dst GROUP BY src),
+cand AS (SELECT src, list(struct_pack(dst := dst, d := d, v := v, place := pos) ORDER BY pos) AS c FROM kg JOIN base ON base.id = dst GROUP BY src),
 kept AS (SELECT src, list_reduce(list_transform(c, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda u: {TESTS[method]})) = 0
   THEN list_concat(acc, x) ELSE acc END, c[1:0]) AS k FROM cand),
-edges AS MATERIALIZED (SELECT src, i - 1 AS pos, k[i].dst AS dst FROM (SELECT src, k, unnest(range(1, len(k) + 1)) AS i FROM kept))"""
+edges AS MATERIALIZED (SELECT src, i - 1 AS pos, k[i].dst AS dst, k[i].d AS d, k[i].place AS place FROM (SELECT src, k, unnest(range(1, len(k) + 1)) AS i FROM kept))"""
 
 
 CAP = 100
@@ -90,6 +90,29 @@ hard AS MATERIALIZED (SELECT q_id, delta0, coalesce(a.n, b.n) AS me FROM delta L
   LEFT JOIN (SELECT q_id, count(*) AS n FROM lone GROUP BY q_id) b USING (q_id))"""
 
 
+ME_MAX = """, goal AS (SELECT DISTINCT gt.q_id, gt.id FROM reached JOIN gt ON gt.q_id = reached.q_id AND gt.rank = reached.v WHERE v <= {k}),
+each AS (SELECT chain.q_id, s, gt.id FROM chain JOIN gt ON gt.q_id = chain.q_id AND gt.rank = chain.n
+  UNION SELECT chain.q_id, s, e.dst FROM chain JOIN gt ON gt.q_id = chain.q_id AND gt.rank = chain.n JOIN edges e ON e.src = gt.id
+  UNION SELECT able.q_id, able.s, goal.id FROM able JOIN goal USING (q_id)),
+dearest AS (SELECT q_id, max(n) AS n FROM (SELECT q_id, s, count(*) AS n FROM each GROUP BY ALL) GROUP BY q_id)
+SELECT hard.q_id, delta0, coalesce(dearest.n, me) AS me FROM hard LEFT JOIN dearest USING (q_id)"""
+
+
+def rank_rounds(rounds: int) -> str:
+    """CTEs r0 to r<rounds> of PageRank with a damping of 0.85; what nodes without edges hold goes to all."""
+    out = [
+        "n AS (SELECT count(*) AS n FROM base), deg AS (SELECT src, count(*) AS deg FROM edges GROUP BY src)",
+        "r0 AS MATERIALIZED (SELECT id AS node, 1.0::DOUBLE / n AS rank FROM base, n)",
+    ]
+    for k in range(1, rounds + 1):
+        out.append(
+            f"r{k} AS MATERIALIZED (SELECT base.id AS node, 0.15 / n + 0.85 * (coalesce(g.got, 0) + lost / n) AS rank FROM base CROSS JOIN n "
+            f"CROSS JOIN (SELECT coalesce(sum(rank), 0) AS lost FROM r{k - 1} WHERE node NOT IN (SELECT src FROM deg)) "
+            f"LEFT JOIN (SELECT dst, sum(rank / deg) AS got FROM edges JOIN deg USING (src) JOIN r{k - 1} ON node = src GROUP BY dst) g ON g.dst = base.id)"
+        )
+    return ", ".join(out)
+
+
 G = f"WITH {BASE}, {gt(DEPTH)}"
 E = f"WITH {BASE}, {edges()}"
 ALL = f"WITH RECURSIVE {BASE}, {gt(100_000)}, {edges()}, {RANKED}, {DELTA}"
@@ -139,7 +162,7 @@ far AS (SELECT max(sqrt({d2("v", "mu")})) AS far FROM base, mu) SELECT q_id, rou
 base AS (SELECT vec_id AS id, CASE WHEN vec_id % 10 <> 0 AND vec_id % 7 = 1 THEN list_transform(v, lambda x: -x) ELSE v END AS v FROM every WHERE NOT (vec_id % 10 <> 0 AND vec_id % 5 = 2)), {gt(K)}
 SELECT q_id, rank, id FROM gt""",
     "rescore": f"{G} SELECT q_id, rank - {K} AS rank, id, round(d, 6) AS dist FROM gt WHERE rank > {K} AND rank <= 20",
-    "vecfile_roundtrip": f"WITH {EVERY} SELECT vec_id, CAST(len(v) AS BIGINT) AS dims, round(v[1], 6) AS first FROM every",
+    "vecfile_roundtrip": f"WITH {EVERY} SELECT vec_id, unnest(range(len(v))) AS i, round(unnest(v), 6) AS x FROM every",
     **{f"{m}_edges": f"WITH {BASE}, {edges(m)} SELECT src, pos, dst FROM edges" for m in TESTS},
     "reverse_graph": f"{E} SELECT dst AS src, row_number() OVER (PARTITION BY dst ORDER BY src) - 1 AS pos, src AS dst FROM edges",
     "in_degree": f"{E}, {IN} SELECT * FROM ind",
@@ -147,8 +170,8 @@ SELECT q_id, rank, id FROM gt""",
     "graph_summary": f"{E}, o AS (SELECT id, count(src) AS n FROM base LEFT JOIN edges ON src = id GROUP BY id) SELECT CAST(sum(n) AS BIGINT) AS edges, count(*) AS nodes, round(avg(n), 6) AS avg_degree, max(n) AS max_degree FROM o",
     "graph_quality": f"{E}, h AS (SELECT count(*) AS h FROM edges JOIN kg USING (src, dst) WHERE kg.pos < {K}), n AS (SELECT count(*) AS n FROM edges) SELECT n AS edges, h AS exact_edges, round(h / n, 6) AS quality FROM h, n",
     "node_quality": f"{E} SELECT src, count(*) FILTER (kg.pos < {K}) AS exact_edges FROM edges LEFT JOIN kg USING (src, dst) GROUP BY src",
-    "edge_positions": f"{E} SELECT src, dst, kg.pos + 1 AS position FROM edges JOIN kg USING (src, dst)",
-    "edge_distances": f"{E} SELECT src, dst, round(d, 6) AS dist FROM edges JOIN kg USING (src, dst)",
+    "edge_positions": f"{E} SELECT src, dst, place + 1 AS position FROM edges",
+    "edge_distances": f"{E} SELECT src, dst, round(d, 6) AS dist FROM edges",
     "hub_density": f"""{E}, {IN}, hubs AS (SELECT node FROM ind ORDER BY degree DESC, node LIMIT (SELECT greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)) FROM base)),
 o AS (SELECT dst FROM edges WHERE src IN (FROM hubs)) SELECT (SELECT count(*) FROM hubs) AS hubs, count(*) AS links, count(*) FILTER (dst IN (FROM hubs)) AS inner_links,
 round(count(*) FILTER (dst IN (FROM hubs)) / count(*), 6) AS density FROM o""",
@@ -161,6 +184,8 @@ CAST(count(*) - count(DISTINCT (src, dst)) AS BIGINT) AS repeats, (SELECT count(
     "shuffled_ids": f"SELECT vec_id AS old, row_number() OVER (ORDER BY {MIX.format('vec_id', 3)}, vec_id) - 1 AS new FROM embeddings",
     "shuffled_gt": f"{G}, m AS (SELECT id, row_number() OVER (ORDER BY {MIX.format('id', 3)}, id) - 1 AS new FROM base) SELECT q_id, rank, new AS id FROM gt JOIN m USING (id) WHERE rank <= {K}",
     "bfs_hops": f"WITH RECURSIVE {BASE}, {edges()}, r(node, hops) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, hops + 1 FROM r JOIN edges ON src = node WHERE hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY node",
+    "pagerank": f"{E}, {rank_rounds(10)} SELECT node, round(rank, 6) AS rank FROM r10",
+    "me_max": f"{HARD}{ME_MAX.format(k=K)}",
     "delta0": f"{ALL} SELECT q_id, delta0 FROM delta",
     "hardness": f"{HARD} SELECT q_id, delta0, me FROM hard",
     "me_touched": f"{ALL}, {me(False)} SELECT q_id, delta0, me FROM hard",

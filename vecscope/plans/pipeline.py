@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..operators import effort, graphs, knn, workload
+from ..operators import effort, graphs, workload
 from ..operators.search import count_target
 
 
@@ -48,8 +48,8 @@ def preprocess(base: DataFrame, s: Settings) -> tuple[DataFrame, workload.Mixtur
 
 def query_hardness(base: DataFrame, query: DataFrame, edges: DataFrame, s: Settings) -> DataFrame:
     """(q_id, delta0, me) of each query."""
-    gt = knn.exact_knn(base, query, s.gt_depth)
-    return effort.hardness(gt, edges, s.k, s.r, s.p)
+    ranks = (*[n for n in effort.RANKS if n and n < s.gt_depth], s.gt_depth)
+    return effort.hardness(effort.Lists(base, query, s.gt_depth), edges, s.k, s.r, s.p, ranks=ranks)
 
 
 def benchmark(spark: SparkSession, base: DataFrame, edges: DataFrame, model: workload.Mixture, s: Settings) -> DataFrame:

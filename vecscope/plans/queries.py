@@ -6,7 +6,8 @@ Values that are not counts are rounded to six decimals.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as V
 from ..operators import effort, graphs, knn, measures, search, stats, workload
 from ..sources import formats
-from .tables import base_query, embeddings
+from .tables import base_query, delete, embeddings, shared_dir
 
 K, R, P = 10, 9, 9
 CAND = 32
@@ -44,14 +45,20 @@ def _edges(s: SparkSession, d: str, method: str = "mrng") -> tuple[DataFrame, Da
     return b, graphs.build_graph(b, method, CAND)
 
 
-def _all(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    b, q, gt = _gt(s, d, 100_000)
+def _lists(s: SparkSession, d: str) -> tuple[effort.Lists, DataFrame]:
+    """Neighbour lists over the whole base, and the pruned graph."""
+    b, q = base_query(s, d)
+    return effort.Lists(b, q), graphs.build_graph(b, "mrng", CAND)
+
+
+def _graph_gt(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    b, q, gt = _gt(s, d, K)
     return b, q, gt, graphs.build_graph(b, "mrng", CAND)
 
 
-def _hard(s: SparkSession, d: str) -> DataFrame:
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P)
+def _hard(s: SparkSession, d: str, **how) -> DataFrame:
+    gt, e = _lists(s, d)
+    return effort.hardness(gt, e, K, R, P, **how)
 
 
 # -- vector functions and neighbours --------------------------------------------------------------------------------
@@ -168,10 +175,10 @@ def rescore(s, d):
 
 @query
 def vecfile_roundtrip(s, d):
-    folder = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecscope-")
-    path = f"{folder}/roundtrip-{abs(hash((d, id(s))))}"
+    path = f"{shared_dir(s)}/roundtrip-{uuid.uuid4().hex}"
+    atexit.register(delete, s, path)
     formats.write(embeddings(s, d), path, "fvecs", 4)
-    return formats.read(s, path, "fvecs").select("vec_id", F.size("v").cast("long").alias("dims"), r6(F.get("v", F.lit(0)).cast("double"), "first"))
+    return formats.read(s, path, "fvecs").select("vec_id", F.posexplode("v").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), r6(F.col("x").cast("double"), "x"))
 
 
 # -- graphs -----------------------------------------------------------------------------------------------------------
@@ -305,7 +312,7 @@ def plain_hnsw_edges(s, d):
 # -- effort -----------------------------------------------------------------------------------------------------------
 @query
 def delta0(s, d):
-    _, _, gt, e = _all(s, d)
+    gt, e = _lists(s, d)
     return effort.delta0(gt, e, K, R, P)
 
 
@@ -316,49 +323,43 @@ def hardness(s, d):
 
 @query
 def me_touched(s, d):
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P, expand=False)
+    return _hard(s, d, expand=False)
 
 
 @query
 def me_fixed_delta(s, d):
-    _, _, gt, e = _all(s, d)
+    gt, e = _lists(s, d)
     return effort.effort_fixed_delta(gt, e, K, R, P, 30)
 
 
 @query
 def me_bfs(s, d):
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P, path="bfs")
+    return _hard(s, d, path="bfs")
 
 
 @query
 def me_max(s, d):
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P, agg="max")
+    return _hard(s, d, agg="max")
 
 
 @query
 def me_overlap(s, d):
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P, overlap=True)
+    return _hard(s, d, overlap=True)
 
 
 @query
 def me_tree(s, d):
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P, path="tree")
+    return _hard(s, d, path="tree")
 
 
 @query
 def me_flow(s, d):
-    _, _, gt, e = _all(s, d)
-    return effort.hardness(gt, e, K, R, P, path="flow")
+    return _hard(s, d, path="flow")
 
 
 @query
 def me_unbounded(s, d):
-    _, _, gt, e = _all(s, d)
+    gt, e = _lists(s, d)
     return effort.effort_unbounded(gt, e, K, R, P)
 
 
@@ -371,19 +372,19 @@ def k0(s, d):
 # -- search -----------------------------------------------------------------------------------------------------------
 @query
 def beam_search(s, d):
-    b, q, _, e = _all(s, d)
+    b, q, _, e = _graph_gt(s, d)
     return search.beam_search(q, e, b, K, 40).select("q_id", "rank", "id", r6("dist", "dist"), "ndc", "hops")
 
 
 @query
 def step_search(s, d):
-    b, q, _, e = _all(s, d)
+    b, q, _, e = _graph_gt(s, d)
     return search.beam_search(q, e, b, K, 6).select("q_id", "rank", "id", r6("dist", "dist"), "ndc", "hops")
 
 
 @query
 def deleted_search(s, d):
-    b, q, _, e = _all(s, d)
+    b, q, _, e = _graph_gt(s, d)
     return search.beam_search(q, e, b, K, 40, deleted=b.where("vec_id % 3 = 0")).select("q_id", "rank", "id", r6("dist", "dist"), "ndc", "hops")
 
 
@@ -395,25 +396,25 @@ def hnsw_search(s, d):
 
 @query
 def recall_at_budget(s, d):
-    b, q, gt, e = _all(s, d)
+    b, q, gt, e = _graph_gt(s, d)
     return search.recall_at_budget(q, e, b, gt, K, (50, 100, 200, 400))
 
 
 @query
 def ef_sweep(s, d):
-    b, q, gt, e = _all(s, d)
+    b, q, gt, e = _graph_gt(s, d)
     return search.ef_sweep(q, e, b, gt, K)
 
 
 @query
 def least_ndc(s, d):
-    b, q, gt, e = _all(s, d)
+    b, q, gt, e = _graph_gt(s, d)
     return search.least_ndc(q, e, b, gt, K, (0.8, 0.9, 1.0))
 
 
 @query
 def search_trace(s, d):
-    b, q, _, e = _all(s, d)
+    b, q, _, e = _graph_gt(s, d)
     return search.search_trace(q, e, b, K, 20)
 
 
@@ -485,14 +486,14 @@ def mahalanobis_nearest(s, d):
 # -- reports and workloads --------------------------------------------------------------------------------------------
 @query
 def hardness_correlation(s, d):
-    b, q, gt, e = _all(s, d)
-    return stats.correlation(effort.hardness(gt, e, K, R, P), measures.lid_stable(gt, K), "me", "lid").select(r6("corr", "corr"))
+    gt = _gt(s, d, K)[2]
+    return stats.correlation(_hard(s, d), measures.lid_stable(gt, K), "me", "lid").select(r6("corr", "corr"))
 
 
 @query
 def effort_correlation(s, d):
-    b, q, gt, e = _all(s, d)
-    return stats.correlation(effort.hardness(gt, e, K, R, P), search.least_ndc(q, e, b, gt, K), "me", "ndc").select(r6("corr", "corr"))
+    b, q, gt, e = _graph_gt(s, d)
+    return stats.correlation(_hard(s, d), search.least_ndc(q, e, b, gt, K), "me", "ndc").select(r6("corr", "corr"))
 
 
 @query
@@ -528,6 +529,9 @@ def random_subset(s, d):
 
 @query
 def gmm_workload(s, d):
+    """Each sampled query with its dimension, its length, and its distance from the nearest base vector."""
     b, _ = base_query(s, d)
     model = workload.fit_mixture(b, 2, rounds=5)
-    return workload.sample_mixture(s, model, 200).select("q_id", F.size("v").cast("long").alias("dims"))
+    q = workload.sample_mixture(s, model, 200)
+    near = knn.exact_knn(b, q, 1).select("q_id", F.col("dist").alias("nearest"))
+    return q.join(near, "q_id").select("q_id", F.size("v").cast("long").alias("dims"), r6(V.norm2(F.col("v")), "norm2"), r6("nearest", "nearest"))

@@ -20,7 +20,12 @@ layered     13 header fields, a slab for level 0, lists of upper levels   level,
 weighted    u8 metric, u16 dim, u32 n, u8 degree; each node: vector, ids, weights, label  src, pos, dst, weight
 codebook    int32 M, int32 Ks, int32 length, floats                       vec_id, v
 
-Options: "rows" keeps the first so many rows, "dims" the first so many numbers of each.
+Writers take (key, value) rows: vectors, numbers, or (src, ids) lists; layered takes (src, vector, levels), the lists of
+each level from 0 on, weighted takes (src, vector, ids, weights).  adj_entry, layered and weighted have one header for
+the whole file, so they are one file, written by one task.  A write lies in drafts until the job commits, and what it
+overwrites goes only then.
+
+Options: "rows" keeps the first so many rows, "dims" the first so many numbers of each; "entry" and "width" are what the headers of adj_entry and layered say.  `kind_of` tells the kind from a file's name.
 """
 
 from __future__ import annotations
@@ -188,37 +193,62 @@ class Reader(DataSourceReader):
         return self._edges(lists())
 
     def _layered(self, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
-        names = ("links", "most", "n", "stride", "label", "data")
-        head = dict(zip(names, struct.unpack("<6Q", f.read(48)), strict=True))
-        _, _ = struct.unpack("<iI", f.read(8))
-        width, _, _, _, _ = struct.unpack("<3QdQ", f.read(40))
-        labels, low = [], []
-        for _ in range(head["n"]):
-            raw = f.read(head["stride"])
-            count = struct.unpack_from("<H", raw, head["links"])[0]
-            low.append(np.frombuffer(raw, "<u4", count, head["links"] + 4))
-            labels.append(struct.unpack_from("<Q", raw, head["label"])[0])
-        label = np.array(labels, np.int64)
-        rows = [(0, int(label[i]), p, int(label[j])) for i, ns in enumerate(low) for p, j in enumerate(ns)]
-        for i in range(head["n"]):
+        head = dict(zip(("links", "most", "n", "stride", "label", "data"), struct.unpack("<6Q", f.read(48)), strict=True))
+        f.read(8)
+        width = struct.unpack("<3QdQ", f.read(40))[0]
+        n, stride, start = head["n"], head["stride"], 96
+        # labels first: links are positions
+        label = np.zeros(n, np.int64)
+        step = max(1, RANGE_BYTES // max(1, stride))
+        for a in range(0, n, step):
+            raw = np.frombuffer(f.read_at(min(step, n - a) * stride, start + a * stride), np.uint8).reshape(-1, stride)
+            label[a : a + len(raw)] = np.ascontiguousarray(raw[:, head["label"] : head["label"] + 8]).view("<u8").ravel()
+        held: list[tuple[int, int, np.ndarray]] = []
+
+        def batch() -> pa.RecordBatch:
+            size = np.array([len(x) for _, _, x in held], np.int64)
+            pos = np.concatenate([np.arange(k, dtype=np.int32) for k in size])
+            dst = label[np.concatenate([x for _, _, x in held]).astype(np.int64)]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([h[0] for h in held], np.int32), size)), pa.array(np.repeat(label[[h[1] for h in held]], size)), pa.array(pos), pa.array(dst)], ["level", "src", "pos", "dst"])
+
+        for a in range(0, n, step):
+            raw = f.read_at(min(step, n - a) * stride, start + a * stride)
+            for i in range(len(raw) // stride):
+                count = struct.unpack_from("<H", raw, i * stride + head["links"])[0]
+                held.append((0, a + i, np.frombuffer(raw, "<u4", count, i * stride + head["links"] + 4)))
+                if len(held) == 4096:
+                    yield batch()
+                    held = []
+        f.seek(start + n * stride)
+        for i in range(n):
             size = struct.unpack("<I", f.read(4))[0]
             raw = f.read(size)
             for level in range(size // (4 * width + 4)):
                 at = level * (4 * width + 4)
-                count = struct.unpack_from("<H", raw, at)[0]
-                rows += [(level + 1, int(label[i]), p, int(label[j])) for p, j in enumerate(np.frombuffer(raw, "<u4", count, at + 4))]
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["level", "src", "pos", "dst"])
+                held.append((level + 1, i, np.frombuffer(raw, "<u4", struct.unpack_from("<H", raw, at)[0], at + 4)))
+            if len(held) >= 4096:
+                yield batch()
+                held = []
+        if held:
+            yield batch()
 
     def _weighted(self, f: pa.NativeFile) -> Iterator[pa.RecordBatch]:
         _, dim, n, degree = struct.unpack("<BHIB", f.read(8))
-        node = np.dtype([("v", "<f4", (dim,)), ("ids", "<u4", (degree,)), ("weights", "<f4", (degree,)), ("label", "<u4")])
-        raw = np.frombuffer(f.read(n * node.itemsize), node)
-        label = raw["label"].astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(label, degree)), pa.array(np.tile(np.arange(degree, dtype=np.int32), n)), pa.array(label[raw["ids"].ravel()]), pa.array(raw["weights"].ravel())],
-            ["src", "pos", "dst", "weight"],
-        )
+        node = weighted_node(dim, degree)
+        step = max(1, RANGE_BYTES // node.itemsize)
+        ranges = [(a, min(step, n - a)) for a in range(0, n, step)]
+        part = lambda a, k: np.frombuffer(f.read_at(k * node.itemsize, 8 + a * node.itemsize), node)
+        label = np.concatenate([np.zeros(0, np.int64), *[part(a, k)["label"].astype(np.int64) for a, k in ranges]])
+        for a, k in ranges:
+            raw = part(a, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(label[a : a + k], degree)), pa.array(np.tile(np.arange(degree, dtype=np.int32), k)), pa.array(label[raw["ids"].ravel()]), pa.array(raw["weights"].ravel())],
+                ["src", "pos", "dst", "weight"],
+            )
+
+
+def weighted_node(dim: int, degree: int) -> np.dtype:
+    return np.dtype([("v", "<f4", (dim,)), ("ids", "<u4", (degree,)), ("weights", "<f4", (degree,)), ("label", "<u4")])
 
 
 def _with_last(items: Iterator[np.ndarray]) -> Iterator[tuple[bool, np.ndarray | None]]:
@@ -227,14 +257,21 @@ def _with_last(items: Iterator[np.ndarray]) -> Iterator[tuple[bool, np.ndarray |
     yield True, None
 
 
+@dataclass
+class Draft(WriterCommitMessage):
+    """A file that a task has written and the commit moves to its place."""
+
+    draft: str | None
+    name: str
+
+
 class Writer(DataSourceArrowWriter):
-    """Writes each partition as one file of the folder; names follow the order of the partitions."""
+    """Writes each partition as one draft file; the commit gives them names that follow the order of the partitions."""
 
     def __init__(self, options: dict[str, str], overwrite: bool):
         self.kind, self.path, self.overwrite = options["kind"], options["path"], overwrite
+        self.entry, self.width = int(options.get("entry", 0)), int(options.get("width", 0))
         system, root = file_system(self.path)
-        if overwrite and system.get_file_info(root).type == fs.FileType.Directory:
-            system.delete_dir_contents(root)
         system.create_dir(root, recursive=True)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
@@ -242,40 +279,112 @@ class Writer(DataSourceArrowWriter):
 
         task = TaskContext.get()
         system, root = file_system(self.path)
-        raw = b"".join(self._encode(list(batches)))
-        if raw:
-            draft = f"{root}/_{task.partitionId():06d}-{task.taskAttemptId()}"
-            with system.open_output_stream(draft, compression=None) as out:
-                out.write(raw)
-            system.move(draft, f"{root}/part-{task.partitionId():06d}")
-        return WriterCommitMessage()
-
-    def _encode(self, batches: list[pa.RecordBatch]) -> Iterator[bytes]:
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        if self.kind in RAW:
-            for b in batches:
-                yield np.asarray(b.column(1)).astype(RAW[self.kind]).tobytes()
-        elif self.kind in VECTOR:
-            t = VECTOR[self.kind]
-            m = np.concatenate([b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for b in batches]).astype(t)
-            if self.kind in ("fvecs", "ivecs"):
-                yield np.concatenate([np.full((len(m), 1), m.shape[1], "<i4"), m.view("<i4")], axis=1).tobytes()
-            else:
-                yield struct.pack("<2i", *m.shape) + m.tobytes()
-        else:
-            for b in batches:  # (src, ids) rows in order of src
+        name = f"part-{task.partitionId():06d}"
+        draft, out = f"{root}/_{name}-{task.taskAttemptId()}", None
+        pieces = self._whole(batches) if self.kind in ("layered", "weighted") else self._encode(b for b in batches if b.num_rows)
+        count = 0
+        for raw, rows in pieces:
+            out = out or system.open_output_stream(draft, compression=None)
+            out.write(raw)
+            count += rows
+        if out is None:
+            return Draft(None, name)
+        out.close()
+        if self.kind in ("fbin", "ibin", "i8bin"):  # the header needs the number of rows
+            with system.open_input_stream(draft, compression=None) as old, system.open_output_stream(draft + "h", compression=None) as new:
+                head = struct.unpack("<2i", old.read(8))
+                new.write(struct.pack("<2i", count, head[1]))
+                while raw := old.read(8 << 20):
+                    new.write(raw)
+            system.delete_file(draft)
+            draft += "h"
+        return Draft(draft, name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, root = file_system(self.path)
+        drafts = [m for m in messages if m is not None and m.draft]
+        if self.overwrite:
+            mine = {m.draft.rsplit("/", 1)[1] for m in drafts}
+            for f in system.get_file_info(fs.FileSelector(root)):
+                if f.base_name not in mine:
+                    system.delete_file(f.path) if f.type == fs.FileType.File else system.delete_dir(f.path)
+        for m in drafts:
+            system.move(m.draft, f"{root}/{m.name}")
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        system, _ = file_system(self.path)
+        for m in messages:
+            if m is not None and m.draft:
+                system.delete_file(m.draft)
+
+    def _encode(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+        """Pieces of the file with their numbers of rows, one for each batch."""
+        first = True
+        for b in batches:
+            if self.kind in RAW:
+                yield np.asarray(b.column(1)).astype(RAW[self.kind]).tobytes(), b.num_rows
+            elif self.kind in VECTOR:
+                m = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1).astype(VECTOR[self.kind])
+                if self.kind in ("fvecs", "ivecs"):
+                    yield np.concatenate([np.full((len(m), 1), m.shape[1], "<i4"), m.view("<i4")], axis=1).tobytes(), len(m)
+                else:
+                    yield (struct.pack("<2i", 0, m.shape[1]) if first else b"") + m.tobytes(), len(m)
+            else:  # (src, ids) rows in order of src
+                out = [struct.pack("<2I", self.width, self.entry)] if first and self.kind == "adj_entry" else []
                 for ids in b.column(1).to_pylist():
-                    a = np.array(ids)
-                    if self.kind == "adj":
-                        yield np.array([len(a), *a], "<u4").tobytes()
+                    if self.kind in ("adj", "adj_entry"):
+                        out.append(np.array([len(ids), *ids], "<u4").tobytes())
                     elif self.kind == "adj64":
-                        yield np.array([len(a), *a], "<u8").tobytes()
+                        out.append(np.array([len(ids), *ids], "<u8").tobytes())
                     elif self.kind == "ended":
-                        yield np.array([*a, -1], "<i4").tobytes()
+                        out.append(np.array([*ids, -1], "<i4").tobytes())
                     else:
                         raise ValueError(f"{self.kind} can't be written")
+                yield b"".join(out), b.num_rows
+            first = False
+
+    def _whole(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+        """Files whose links are positions: all rows of the one partition, labels first."""
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        if not rows:
+            return
+        at = {r[0]: i for i, r in enumerate(rows)}
+        dim = len(rows[0][1])
+        if self.kind == "weighted":
+            degree = len(rows[0][2])
+            yield struct.pack("<BHIB", 0, dim, len(rows), degree), 0
+            node = weighted_node(dim, degree)
+            for label, v, ids, weights in rows:
+                yield np.array([(v, [at[i] for i in ids], weights, label)], node).tobytes(), 1
+            return
+        width = self.width or max((len(ls) for _, _, levels in rows for ls in levels[1:]), default=1)
+        most0 = max(2 * width, *(len(levels[0]) for _, _, levels in rows))
+        links = 4 * most0 + 4
+        stride = links + 4 * dim + 8
+        top = max(len(levels) for _, _, levels in rows) - 1
+        yield struct.pack("<6Q", 0, len(rows), len(rows), stride, links + 4 * dim, links) + struct.pack("<iI", top, at.get(self.entry, 0)), 0
+        yield struct.pack("<3QdQ", width, most0, width, 1.0 / np.log(max(2, width)), 0), 0
+        pack = lambda ids, size: struct.pack("<HH", len(ids), 0) + np.array([at[i] for i in ids] + [0] * (size - len(ids)), "<u4").tobytes()
+        for label, v, levels in rows:
+            yield pack(levels[0], most0) + np.array(v, "<f4").tobytes() + struct.pack("<Q", label), 1
+        for _, _, levels in rows:
+            raw = b"".join(pack(ls, width) for ls in levels[1:])
+            yield struct.pack("<I", len(raw)) + raw, 0
+
+
+#: Kinds by the ends of file names, the longest that fits.
+NAMES = {
+    ".fvecs": "fvecs", ".ivecs": "ivecs", ".fbin": "fbin", ".ibin": "ibin", ".i8bin": "i8bin", ".mrng": "adj", ".ssg": "adj", ".taumg": "adj", ".nsg": "adj_entry", ".taumng": "adj_entry",
+    ".nsw": "adj64", "_std": "ended", ".hnsw": "layered", ".deg": "weighted", ".efanna": "knng", ".fdat": "codebook", ".ibin_plain": "padded", ".ibin_mrng": "raw_i",
+}
+
+
+def kind_of(path: str) -> str:
+    """The kind that a file's name stands for."""
+    fits = [end for end in NAMES if path.rstrip("/").endswith(end)]
+    if not fits:
+        raise ValueError(f"the name of {path} says no kind")
+    return NAMES[max(fits, key=len)]
 
 
 class VecFiles(DataSource):
@@ -298,20 +407,26 @@ class VecFiles(DataSource):
         return Writer(dict(self.options), overwrite)
 
 
-def read(spark: SparkSession, path: str, kind: str, **options: int) -> DataFrame:
+def read(spark: SparkSession, path: str, kind: str | None = None, **options: int) -> DataFrame:
     spark.dataSource.register(VecFiles)
-    r = spark.read.format("vecfiles").option("kind", kind)
+    r = spark.read.format("vecfiles").option("kind", kind or kind_of(path))
     for k, v in options.items():
         r = r.option(k, str(v))
     return r.load(path)
 
 
-def write(df: DataFrame, path: str, kind: str, parts: int = 1) -> None:
-    """Write (key, value) rows in order of the key: vectors, numbers, or the neighbour lists of (src, ids)."""
+def write(df: DataFrame, path: str, kind: str | None = None, parts: int = 1, **options: int) -> None:
+    """Write rows in order of their first column: vectors, numbers, or neighbour lists, as the kind asks for."""
     df.sparkSession.dataSource.register(VecFiles)
+    kind = kind or kind_of(path)
+    if kind in ("adj_entry", "layered", "weighted") and parts != 1:
+        raise ValueError(f"{kind} is one file")
     key = df.columns[0]
-    rows = df.repartitionByRange(parts, key).sortWithinPartitions(key)
-    rows.write.format("vecfiles").option("kind", kind).mode("overwrite").save(path)
+    rows = df.repartitionByRange(parts, key).sortWithinPartitions(key) if parts > 1 else df.coalesce(1).sortWithinPartitions(key)
+    w = rows.write.format("vecfiles").option("kind", kind)
+    for k, v in options.items():
+        w = w.option(k, str(v))
+    w.mode("overwrite").save(path)
 
 
 def write_edge_csv(edges: DataFrame, path: str) -> None:
