@@ -237,7 +237,7 @@ def lay_out(docs: DataFrame, out: str, old_shards: int = 12, key: str = "doc_id"
     return docs.sparkSession.read.schema(d.schema).parquet(out)
 
 
-def reshard_files(docs: DataFrame, scratch: Scratch, shards: int = 16, old_shards: int = 12, key: str = "doc_id", text: str = "text", rows_per_file: int = 100_000) -> DataFrame:
+def reshard_files(docs: DataFrame, scratch: Scratch, shards: int = 16, old_shards: int = 12, key: str = "doc_id", text: str = "text", file_bytes: int = 64 << 20) -> DataFrame:
     """(key, size, text_crc32, old_shard, shard, slot) as read from the files of the new shards.
 
     Old shards are written, planned and rewritten where they change; sizes and checksums are those of the texts read
@@ -250,13 +250,13 @@ def reshard_files(docs: DataFrame, scratch: Scratch, shards: int = 16, old_shard
     rows = scratch.save(old.select(size.alias("size"), F.col("shard").alias("from_"), F.col("row_").alias("own")), "rows")
     solved = placement(rows, shards, old_shards)
     # a row for each two shards; a flow of fewer bytes than a row has moves none
-    going = solved.of(rows, F.col("size"), F.col("from_"), F.col("own")).where("shard_ <> from_").groupBy("from_", "shard_").count().collect()
+    going = solved.of(rows, F.col("size"), F.col("from_"), F.col("own")).where("shard_ <> from_").groupBy("from_", "shard_").agg(F.sum("size").alias("bytes")).collect()
     affected = sorted({s for r in going for s in r[:2]})
     read = lambda d, was: d.select(key, size.alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32"), F.col(was).alias("old_shard"), "shard", "slot")
     stay = read(numbered(spark, scratch.path("old"), old.schema).where(~F.col("shard").isin(affected)), "shard")
     if not affected:
         return stay
-    files = {j: -(-sum(r["count"] for r in going if r["shard_"] == j) // rows_per_file) for j in {r["shard_"] for r in going}}
+    files = {j: -(-sum(r["bytes"] for r in going if r["shard_"] == j) // file_bytes) for j in {r["shard_"] for r in going}}
     dealt = solved.of(old, size, F.col("shard"), F.col("row_")).where(F.col("shard").isin(affected)).withColumnsRenamed({"shard": "shard_in", "shard_": "shard"})
     part = F.pmod(F.xxhash64("row_"), F.get(F.array(*[F.lit(files.get(j, 1)) for j in range(shards)]), F.col("shard")))
     moving = dealt.where("shard <> shard_in").withColumn("part_", part).repartition("shard", "part_").drop("part_")
