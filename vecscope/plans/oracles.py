@@ -47,7 +47,7 @@ edges AS MATERIALIZED (SELECT src, i - 1 AS pos, k[i].dst AS dst, k[i].d AS d, k
 
 CAP = 100
 RANKED = f"""er AS MATERIALIZED (
-  SELECT g.q_id, g.rank AS u, h.rank AS v FROM gt g JOIN edges e ON e.src = g.id JOIN gt h ON h.q_id = g.q_id AND h.id = e.dst
+  SELECT g.q_id, g.rank AS u, h.rank AS v, e.pos FROM gt g JOIN edges e ON e.src = g.id JOIN gt h ON h.q_id = g.q_id AND h.id = e.dst
   WHERE g.rank <= {CAP} AND h.rank <= {CAP})"""
 
 
@@ -66,21 +66,32 @@ delta AS (SELECT q_id, coalesce(greatest(b, {K}), (SELECT count(*) FROM base) +
 FIXED = f"delta AS (SELECT q_id, {K} + 30 AS delta0 FROM query)"
 
 
-def me(expand: bool = True) -> str:
-    grown = "UNION SELECT q_id, e.dst FROM path JOIN gt USING (q_id, rank) JOIN edges e ON e.src = gt.id" if expand else ""
-    return f"""deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src),
-ei AS MATERIALIZED (SELECT er.q_id, u, v, coalesce(deg.n, 0) AS c FROM er JOIN delta USING (q_id) JOIN gt ON gt.q_id = er.q_id AND gt.rank = u LEFT JOIN deg ON deg.src = gt.id
-  WHERE u <= delta0 AND v <= delta0),
-dist(q_id, s, v, d) USING KEY (q_id, s, v) AS (
+CHEAPEST = f"""dist(q_id, s, v, d) USING KEY (q_id, s, v) AS (
   SELECT q_id, rank, rank, CAST(0 AS BIGINT) FROM gt WHERE rank <= {K}
   UNION (SELECT n.q_id, n.s, n.v, n.d FROM (
       SELECT dist.q_id, dist.s, ei.v, min(dist.d + ei.c) AS d FROM dist JOIN ei ON ei.q_id = dist.q_id AND ei.u = dist.v GROUP BY ALL) n
-    LEFT JOIN recurring.dist o ON o.q_id = n.q_id AND o.s = n.s AND o.v = n.v WHERE o.d IS NULL OR n.d < o.d)),
+    LEFT JOIN recurring.dist o ON o.q_id = n.q_id AND o.s = n.s AND o.v = n.v WHERE o.d IS NULL OR n.d < o.d))"""
+TIGHT = f"""pred AS MATERIALIZED (SELECT t.q_id, t.s, t.v, f.v AS u FROM reached t JOIN ei ON ei.q_id = t.q_id AND ei.v = t.v JOIN reached f ON f.q_id = t.q_id AND f.s = t.s AND f.v = ei.u
+  WHERE t.v <> t.s AND f.d + ei.c = t.d QUALIFY row_number() OVER (PARTITION BY t.q_id, t.s, t.v ORDER BY f.d, f.v) = 1)"""
+BREADTH = f"""dist(q_id, s, v, u, nth) USING KEY (q_id, s, v) AS (
+  SELECT q_id, rank, rank, CAST(NULL AS BIGINT), CAST(1 AS BIGINT) FROM gt WHERE rank <= {K}
+  UNION (SELECT q_id, s, v, u, row_number() OVER (PARTITION BY q_id, s ORDER BY before, pos) FROM (
+      SELECT dist.q_id, dist.s, ei.v, ei.u, dist.nth AS before, ei.pos FROM dist JOIN ei ON ei.q_id = dist.q_id AND ei.u = dist.v
+      LEFT JOIN recurring.dist o ON o.q_id = dist.q_id AND o.s = dist.s AND o.v = ei.v WHERE o.v IS NULL
+      QUALIFY row_number() OVER (PARTITION BY dist.q_id, dist.s, ei.v ORDER BY dist.nth, ei.pos) = 1)))"""
+FOUND = "pred AS (SELECT q_id, s, v, u FROM dist JOIN able USING (q_id, s) WHERE u IS NOT NULL)"
+
+
+def me(expand: bool = True, bfs: bool = False) -> str:
+    grown = "UNION SELECT q_id, e.dst FROM path JOIN gt USING (q_id, rank) JOIN edges e ON e.src = gt.id" if expand else ""
+    return f"""deg AS (SELECT src, count(*) AS n FROM edges GROUP BY src),
+ei AS MATERIALIZED (SELECT er.q_id, u, v, pos, coalesce(deg.n, 0) AS c FROM er JOIN delta USING (q_id) JOIN gt ON gt.q_id = er.q_id AND gt.rank = u LEFT JOIN deg ON deg.src = gt.id
+  WHERE u <= delta0 AND v <= delta0),
+{BREADTH if bfs else CHEAPEST},
 able AS (SELECT q_id, s FROM (SELECT q_id, s, row_number() OVER (PARTITION BY q_id ORDER BY s) AS nth, count(*) OVER (PARTITION BY q_id) AS n
     FROM (SELECT q_id, s FROM dist WHERE v <= {K} GROUP BY ALL HAVING count(*) >= {R})) WHERE nth <= {P} AND n >= {P}),
-reached AS (SELECT q_id, s, v, d FROM dist JOIN able USING (q_id, s)),
-pred AS MATERIALIZED (SELECT t.q_id, t.s, t.v, f.v AS u FROM reached t JOIN ei ON ei.q_id = t.q_id AND ei.v = t.v JOIN reached f ON f.q_id = t.q_id AND f.s = t.s AND f.v = ei.u
-  WHERE t.v <> t.s AND f.d + ei.c = t.d QUALIFY row_number() OVER (PARTITION BY t.q_id, t.s, t.v ORDER BY f.d, f.v) = 1),
+reached AS (SELECT q_id, s, v, {'nth' if bfs else 'd'} AS d FROM dist JOIN able USING (q_id, s)),
+{FOUND if bfs else TIGHT},
 chain(q_id, s, n) AS (SELECT q_id, s, u FROM pred WHERE v <= {K} UNION SELECT chain.q_id, chain.s, u FROM chain JOIN pred ON pred.q_id = chain.q_id AND pred.s = chain.s AND pred.v = chain.n),
 path AS (SELECT DISTINCT q_id, n AS rank FROM chain),
 counted AS (SELECT q_id, id FROM path JOIN gt USING (q_id, rank) {grown}
@@ -136,6 +147,18 @@ kept_q AS (SELECT q_id, me FROM n WHERE lo > 2 AND hi > 2), lim AS (SELECT CAST(
 binned AS (SELECT q_id, me, CAST(1 + (a + 1 * (z - a) / 5 < me)::INT + (a + 2 * (z - a) / 5 < me)::INT + (a + 3 * (z - a) / 5 < me)::INT
   + (a + 4 * (z - a) / 5 < me)::INT AS BIGINT) AS bin FROM kept_q, lim)"""
 
+MINUS = "list_transform(list_zip({0}, {1}), lambda z: z[1] - z[2])"
+MU = "mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(range(len(v))) AS i, unnest(v) AS x FROM base) GROUP BY i))"
+#: Squared lengths of the rows of `gap` by the base's inverse covariance: elimination, one pivot a round.
+SOLVED = f"""centred AS (SELECT id, unnest(range(1, len(v) + 1)) AS i, {MINUS.format('v', 'mu')} AS c FROM base, mu),
+cov AS (SELECT i, list(x ORDER BY j) AS cells FROM (SELECT i, j, sum(c[i] * c[j]) / (count(*) - 1) AS x FROM (SELECT i, c, unnest(range(1, len(c) + 1)) AS j FROM centred) GROUP BY i, j) GROUP BY i),
+sides AS (SELECT i, list(x[i] ORDER BY q_id) AS cells FROM (SELECT q_id, x, unnest(range(1, len(x) + 1)) AS i FROM gap) GROUP BY i),
+solve(k, i, cells) AS (SELECT 0, i, list_concat(cov.cells, sides.cells) FROM cov JOIN sides USING (i)
+  UNION ALL SELECT e.k + 1, e.i, CASE WHEN e.i = e.k + 1 THEN list_transform(p.cells, lambda x: x / p.cells[p.i]) ELSE list_transform(list_zip(e.cells, p.cells), lambda z: z[1] - z[2] * e.cells[p.i] / p.cells[p.i]) END
+  FROM solve e JOIN solve p ON p.i = e.k + 1),
+solved AS (SELECT i, cells[-(SELECT count(*) FROM gap) :] AS y FROM solve WHERE k = (SELECT count(*) FROM cov))
+SELECT q_id, round(sum(x[i] * y[nth]), 6) AS dist FROM (SELECT q_id, x, row_number() OVER (ORDER BY q_id) AS nth FROM gap), solved GROUP BY q_id"""
+
 ORACLES: dict[str, str] = {
     "exact_knn": f"{G} SELECT q_id, rank, id, round(d, 6) AS dist FROM gt",
     "exact_knn_expressions": f"{G} SELECT q_id, rank, id, round(d, 6) AS dist FROM gt WHERE rank <= {K}",
@@ -155,7 +178,7 @@ SELECT q_id, id, round(CASE WHEN e IS NULL THEN d ELSE -e END, 6) AS value FROM
     "norms": f"WITH {EVERY} SELECT vec_id, round({ip('v', 'v')}, 6) AS norm2 FROM every",
     "normalized": f"WITH {EVERY}, n AS (SELECT vec_id, v, sqrt({ip('v', 'v')}) AS n FROM every) SELECT vec_id, unnest(range(len(v))) AS i, round(unnest(v) / CASE WHEN n = 0 THEN 1e-10 ELSE n END, 6) AS x FROM n",
     "segment_means": f"WITH {EVERY}, i AS (SELECT vec_id, v, unnest(range(8)) AS i FROM every) SELECT vec_id, i, round(list_avg(v[i * 8 + 1 : i * 8 + 8]), 6) AS x FROM i",
-    "centred_length": f"""WITH {BASE}, mu AS (SELECT list(m ORDER BY i) AS mu FROM (SELECT i, avg(x) AS m FROM (SELECT unnest(range(len(v))) AS i, unnest(v) AS x FROM base) GROUP BY i)),
+    "centred_length": f"""WITH {BASE}, {MU},
 far AS (SELECT max(sqrt({d2("v", "mu")})) AS far FROM base, mu) SELECT q_id, round(sqrt({d2("v", "mu")}) / far, 6) AS length FROM query, mu, far""",
     "neighbour_products": f"{G} SELECT q_id, rank, id, round({ip('query.v', 'base.v')}, 6) AS ip FROM gt JOIN base USING (id) JOIN query USING (q_id) WHERE rank <= {K}",
     "upsert_remove": f"""WITH {EVERY}, query AS (SELECT vec_id AS q_id, v FROM every WHERE vec_id % 10 = 0),
@@ -186,6 +209,7 @@ CAST(count(*) - count(DISTINCT (src, dst)) AS BIGINT) AS repeats, (SELECT count(
     "bfs_hops": f"WITH RECURSIVE {BASE}, {edges()}, r(node, hops) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS BIGINT) UNION SELECT dst, hops + 1 FROM r JOIN edges ON src = node WHERE hops < 12) SELECT node, min(hops) AS hops FROM r GROUP BY node",
     "pagerank": f"{E}, {rank_rounds(10)} SELECT node, round(rank, 6) AS rank FROM r10",
     "me_max": f"{HARD}{ME_MAX.format(k=K)}",
+    "me_bfs": f"{ALL}, {me(bfs=True)} SELECT q_id, delta0, me FROM hard",
     "delta0": f"{ALL} SELECT q_id, delta0 FROM delta",
     "hardness": f"{HARD} SELECT q_id, delta0, me FROM hard",
     "me_touched": f"{ALL}, {me(False)} SELECT q_id, delta0, me FROM hard",
@@ -207,6 +231,8 @@ FROM (SELECT q_id, id, true AS t FROM truth) FULL JOIN (SELECT q_id, id, true AS
     "relative_contrast": f"WITH {BASE}, {gt(100_000)}, {DK} SELECT q_id, round(avg(d) / max(d1), 6) AS value FROM gt JOIN dk USING (q_id) GROUP BY q_id",
     "pairwise_distance": f"{G}, n AS (SELECT q_id, rank, v FROM gt JOIN base USING (id) WHERE rank <= {K}) SELECT a.q_id, round(avg({d2('a.v', 'b.v')}), 6) AS value FROM n a JOIN n b ON a.q_id = b.q_id AND a.rank < b.rank GROUP BY a.q_id",
     "k_occurrence": f"{G}, {kg(K)}, ind AS (SELECT base.id, count(src) AS degree FROM base LEFT JOIN kg ON dst = base.id GROUP BY base.id) SELECT q_id, round(avg(degree), 6) AS value FROM gt JOIN ind USING (id) WHERE rank <= 50 GROUP BY q_id",
+    "mahalanobis": f"WITH RECURSIVE {BASE}, {MU}, gap AS MATERIALIZED (SELECT q_id, {MINUS.format('v', 'mu')} AS x FROM query, mu), {SOLVED}",
+    "mahalanobis_nearest": f"WITH RECURSIVE {BASE}, {gt(1)}, {MU}, gap AS MATERIALIZED (SELECT q_id, {MINUS.format('query.v', 'base.v')} AS x FROM gt JOIN base USING (id) JOIN query USING (q_id)), {SOLVED}",
     "hardness_correlation": f"""{HARD}, {DK}, l AS (SELECT q_id, -count(*) / sum(CASE WHEN d < dk / 2 THEN ln(d / dk) ELSE ln(1 + (d - dk) / dk) END) AS lid
   FROM gt JOIN dk USING (q_id) WHERE rank <= {K} GROUP BY q_id) SELECT round(corr(me, lid), 6) AS corr FROM hard JOIN l USING (q_id)""",
     "hardness_report": f"{HARD} SELECT round(CAST(min(me) AS DOUBLE), 6) AS lo, round(CAST(max(me) AS DOUBLE), 6) AS hi, round(avg(me), 6) AS mean, round(quantile_cont(CAST(me AS DOUBLE), 0.99), 6) AS p99 FROM hard",
