@@ -41,6 +41,17 @@ def test_blocks_of_items_give_the_same(spark, docs, words):
     assert got == brute(rows, items, 80)
 
 
+def test_equal_items_share_a_block_but_keep_their_rows(spark, docs, words, monkeypatch):
+    rows, items = cases(words)
+    items += [items[7]] * 40 + [(None, items[8][1])] * 3
+    monkeypatch.setattr(d, "COPIES", 7)
+    for size in (300, 1 << 20):
+        got = sorted((tuple(r) for r in d.contaminated(docs(rows), bench(spark, items), 80, block_bytes=size).collect()), key=repr)
+        assert got == brute(rows, items, 80)
+    one = [items[7]] * 500
+    assert len(d.write_blocks(bench(spark, one), 80, "item_id", "text", 5, 2 * len(items[7][1]))) == 1
+
+
 def test_clean_rows_stay_unchanged(spark, docs, words):
     rows, items = cases(words)
     bad = {i for i, *_ in brute(rows, items, 80)}

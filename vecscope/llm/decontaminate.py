@@ -10,7 +10,8 @@ document's length.  Candidates are then verified by exact containment, word by w
 Documents are read once, in place, and never shuffled.  The benchmark is cut into blocks of BLOCK_BYTES of text, which
 lie as files in the shared folder: the driver makes one at a time, and a task holds one at a time.  One block is
 loaded once; of several, each is loaded once for every DOCS_BYTES of documents.  A block takes about five times its
-text in memory, as shingles of candidates are made when they are needed and SETS_KEPT of them are kept.
+text in memory, as shingles of candidates are made when they are needed and SETS_KEPT of them are kept.  Items equal in
+id and text are one item with a number of copies, so no block grows with them.
 
 Defined results
   null or empty text   neither contains nor is contained
@@ -40,6 +41,8 @@ from .shingles import Shingler
 BLOCK_BYTES = 16 << 20
 DOCS_BYTES = 32 << 20
 SETS_KEPT = 1000
+#: Rows that one match with repeated items becomes at a time.
+COPIES = 10_000
 
 
 def sketch_size(n: int, percent: int) -> int:
@@ -51,13 +54,13 @@ def sketch_size(n: int, percent: int) -> int:
 class ItemBlock:
     """A block of items: their words, and for each class of sizes a sorted table of sketch values with their owners."""
 
-    def __init__(self, items: list[tuple[int | None, str]], percent: int, k: int = 5):
+    def __init__(self, items: list[tuple[int | None, str, int]], percent: int, k: int = 5):
         self.percent, self.k = percent, k
         shingler = Shingler(k)
-        self.items: list[tuple[int | None, bytes]] = []
+        self.items: list[tuple[int | None, bytes, int]] = []
         values: dict[int, list[np.ndarray]] = defaultdict(list)
         owners: dict[int, list[np.ndarray]] = defaultdict(list)
-        for item_id, text in items:
+        for item_id, text, copies in items:
             ws = shingler.words(text)
             if not ws:
                 continue
@@ -66,7 +69,7 @@ class ItemBlock:
             size_class = len(hashes).bit_length()
             owners[size_class].append(np.full(len(low), len(self.items), np.int32))
             values[size_class].append(low)
-            self.items.append((item_id, b" ".join(ws)))
+            self.items.append((item_id, b" ".join(ws), copies))
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         for c in sorted(values):
             flat, own = np.concatenate(values[c]), np.concatenate(owners[c])
@@ -101,8 +104,8 @@ class ItemBlock:
                 found.update(owners[kept[at] == values].tolist())
         return sorted(found)
 
-    def search(self, shingler: Shingler, text: str | None) -> list[tuple[int | None, int, int]]:
-        """(item_id, shared, size) for each item contained in the text."""
+    def search(self, shingler: Shingler, text: str | None) -> list[tuple[int | None, int, int, int]]:
+        """(item_id, shared, size, copies) for each item contained in the text."""
         ws = shingler.words(text)
         if not ws or not self.tables:
             return []
@@ -114,7 +117,7 @@ class ItemBlock:
             want = self.wanted(o)
             both = len(want & own)
             if 100 * both >= self.percent * len(want):
-                out.append((self.items[o][0], both, len(want)))
+                out.append((self.items[o][0], both, len(want), self.items[o][2]))
         return out
 
 
@@ -122,15 +125,16 @@ def write_blocks(benchmark: DataFrame, percent: int, key: str, text: str, k: int
     """The benchmark as files of blocks of about `block_bytes` of text; one at a time comes to the driver."""
     scratch = Scratch(benchmark.sparkSession, "items")
     items = benchmark.select(benchmark[key].cast("long").alias("key_"), benchmark[text].cast("string").alias("text_")).where("text_ IS NOT NULL")
+    items = scratch.save(items.groupBy("key_", "text_").agg(F.count("*").alias("copies")), "distinct")
     total = items.agg(F.sum(F.octet_length("text_"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     place = F.pmod(F.xxhash64("key_", "text_"), F.lit(n))
     system, root = file_system(scratch.root)
-    system.create_dir(root, recursive=True)
     for b in range(n):
         rows = (items.where(place == b) if n > 1 else items).collect()
         with system.open_output_stream(f"{root}/{b}", compression=None) as out:
-            out.write(pickle.dumps(ItemBlock([(r[0], r[1]) for r in rows], percent, k), protocol=5))
+            out.write(pickle.dumps(ItemBlock([tuple(r) for r in rows], percent, k), protocol=5))
+    scratch.drop("distinct")
     return [scratch.path(str(b)) for b in range(n)]
 
 
@@ -140,7 +144,7 @@ def read_block(path: str) -> ItemBlock:
         return pickle.loads(f.read())
 
 
-def _matches(paths: list[str], k: int, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int | None, int, int]]]]]:
+def _matches(paths: list[str], k: int, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[tuple[int | None, int, int, int]]]]]:
     """Batches with what each of their texts contains; documents wait in DOCS_BYTES for several blocks."""
     shingler = Shingler(k)
     only = read_block(paths[0]) if len(paths) == 1 else None
@@ -173,10 +177,12 @@ def contaminated(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _matches(paths, k, 1, batches):
             rows = [(d, *m) for d, ms in zip(batch.column(0).to_pylist(), found, strict=True) for m in ms]
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_item"])
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "n_shared", "n_item", "copies"])
 
-    out = docs.select(docs[key].cast("long"), docs[text].cast("string")).mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
+    out = docs.select(docs[key].cast("long"), docs[text].cast("string")).mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long, copies long")
+    # a match with an item of many copies is repeated in slices of bounded length
+    out = out.withColumn("slice_", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / COPIES)))).withColumn("copy_", F.explode(F.sequence(F.lit(1), F.least(F.lit(COPIES), F.col("copies") - F.col("slice_") * COPIES))))
     return out.select(F.col("doc_id").alias(key), F.col("item_id").alias(item), "n_shared", "n_item")
 
 
