@@ -1,9 +1,12 @@
 """Hand-made graphs with known answers, and properties of the kernels."""
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from vecscope.operators.effort import Prefix, cadence_of, delta0_of, effort_of, k0_of, unbounded_effort_of
+from vecscope.operators import effort
+from vecscope.operators.effort import Prefix, Whole, cadence_of, delta0_of, effort_of, k0_of, unbounded_effort_of
+from vecscope.operators.graphs import build_graph
 from vecscope.operators.search import count_target
 
 
@@ -131,3 +134,37 @@ def test_covers_reach_every_target(g):
         targets = [t for t in x.reach(s, 4, g[0])]
         for cover in (x.cheapest, x.tree, x.flow_tree):
             assert set(targets) <= reaches(x, cover(s, targets, g[0]), s, g[0]), cover
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.integers(4, 24).flatmap(lambda n: st.tuples(st.just(n), st.lists(st.tuples(st.integers(1, n), st.integers(1, n + 1)), max_size=90, unique=True))), st.integers(0, 3))
+def test_whole_graph_gives_the_effort_of_all_ranks(g, places):
+    n, edges = g
+    # few places make ties of distance; one id in the edges is not in the base
+    x = np.random.default_rng(n).integers(0, places + 2, (n, 2)).astype(float)
+    ids = np.arange(1, n + 1) * 3
+    edges = sorted((3 * a, pos, 3 * b) for pos, (a, b) in enumerate(edges))
+    whole = Whole(ids, x, np.array([e[0] for e in edges], np.int64), np.array([e[2] for e in edges], np.int64))
+    q = np.zeros(2)
+    ranked = ids[np.lexsort((ids, ((x - q) ** 2).sum(axis=1)))].tolist()
+    want = Prefix(ranked, [[b for a, _, b in edges if a == i] for i in ranked], n)
+    for k, p in ((4, 4), (3, 2), (1, 1)):
+        assert whole.effort(q, ranked[:k], p) == unbounded_effort_of(want, k, 1, p)
+
+
+def test_unbounded_effort_reads_no_more_than_the_nearest(spark):
+    x = np.random.default_rng(5).normal(size=(120, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    base, query = spark.createDataFrame(rows[10:], "vec_id long, v array<double>"), spark.createDataFrame(rows[:10], "q_id long, v array<double>")
+    edges = build_graph(base, "mrng", 8)
+    asked = []
+
+    class Lists(effort.Lists):
+        def first(self, n, only=None):
+            asked.append(n)
+            return super().first(n, only)
+
+    got = {r.q_id: r.me for r in effort.effort_unbounded(Lists(base, query), edges, 4, 3, 3).collect()}
+    assert asked == [4]
+    want = effort.effort_unbounded(effort.Lists(base, query).first(None).select("q_id", "rank", "id"), edges, 4, 3, 3)
+    assert got == {r.q_id: r.me for r in want.collect()} and len(got) == 10

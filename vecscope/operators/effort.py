@@ -2,7 +2,8 @@
 
 For each query one row holds the first R ranks of its neighbour list with the out-neighbours of each; all kernels read
 that row alone, so the only shuffle is by query.  R starts small and grows for the queries that need more; `Lists` finds
-only as many neighbours as R asks for.  The adjacency of the graph is stored once and read in every step.
+only as many neighbours as R asks for.  The adjacency of the graph is stored once and read in every step.  Effort without
+a prefix walks the graph itself, sent as arrays, from both ends of every path: no query holds a row with all ranks.
 
 delta0 is found through bottlenecks rather than by growing a prefix: b(s, t) is the least, over paths from s to t, of
 the largest rank on the path, and delta0 = max(k, p-th least over s of (r-th least over t of b(s, t))).
@@ -15,13 +16,15 @@ import math
 from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.tables import spread
 from .graphs import adjacency
-from .knn import exact_knn
+from .knn import _vectors, exact_knn
+from .search import shards_needed
 from .stats import _cut
 
 INF = math.inf
@@ -293,6 +296,106 @@ def unbounded_effort_of(x: Prefix, k: int, r: int, p: int) -> int:
     return len(x.expanded(total))
 
 
+class Whole:
+    """The whole graph as arrays, nodes by place: unbounded effort without a list of all ranks.
+
+    Ranks only settle ties between nodes, by distance to the query and then id, and are measured where they are needed.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, src: np.ndarray, dst: np.ndarray):
+        """ids are sorted; the edges' ends are ids, in order of source and position.  Only nodes with a vector are walked."""
+        self.ids, self.x = ids, x
+        self.out_first, self.out_end, self.out = np.searchsorted(src, ids), np.searchsorted(src, ids, "right"), dst
+        self.degrees = (self.out_end - self.out_first).tolist()
+        known = np.isin(src, ids) & np.isin(dst, ids)
+        a, b = np.searchsorted(ids, src[known]), np.searchsorted(ids, dst[known])
+        back = np.argsort(b, kind="stable")
+        places = np.arange(len(ids) + 1)
+        self.next_first, self.next = np.searchsorted(a, places), b
+        self.into_first, self.into = np.searchsorted(b[back], places), a[back]
+
+    def after(self, u: int) -> list[int]:
+        return self.next[self.next_first[u] : self.next_first[u + 1]].tolist()
+
+    def before(self, v: int) -> list[int]:
+        return self.into[self.into_first[v] : self.into_first[v + 1]].tolist()
+
+    def effort(self, q: np.ndarray, near: list[int], p: int) -> int:
+        """unbounded_effort_of for the query vector with its k nearest ids."""
+        at = np.searchsorted(self.ids, near).tolist()
+        far: dict[int, float] = {}
+        total: set[int] = set()
+        for s in at[:p]:
+            total |= self._cheapest(s, at, q, far, total)
+        out = {int(self.ids[u]) for u in total}
+        return len(out.union(*[self.out[self.out_first[u] : self.out_end[u]].tolist() for u in total]))
+
+    def _cheapest(self, s: int, targets: list[int], q: np.ndarray, far: dict[int, float], free: set[int]) -> set[int]:
+        """Prefix.cheapest over all ranks: the same nodes from a walk that only enters what may lie on a cheapest path.
+
+        One search from s and one back from each target meet; node v with cost d from s stays out if d and the least
+        cost from v to any target exceed that target's cost.  What stays out leads to no cheapest path, so what is
+        walked is met in the same order and gets the same predecessors.
+        """
+        degrees = self.degrees
+        cost, heap, done = {s: 0}, [(0, s)], set()
+        reached, ball, spare = [], -1, {}  # spare: the largest cost at which a node may still lie on a cheapest path
+        for t in targets:
+            best, rest, back, settled = cost.get(t, INF), {t: 0}, [(0, t)], []
+            while heap and back and heap[0][0] + back[0][0] <= best:
+                if len(heap) <= len(back):
+                    d, u = heapq.heappop(heap)
+                    if u in done:
+                        continue
+                    done.add(u)
+                    d += 0 if u in free else degrees[u]
+                    for v in self.after(u):
+                        if d < cost.get(v, INF):
+                            cost[v] = d
+                            heapq.heappush(heap, (d, v))
+                        if v in rest and d + rest[v] < best:
+                            best = d + rest[v]
+                else:
+                    d, v = heapq.heappop(back)
+                    if d > rest[v]:
+                        continue
+                    settled.append(v)
+                    for u in self.before(v):
+                        c = d if u in free else d + degrees[u]
+                        if c < rest.get(u, INF):
+                            rest[u] = c
+                            heapq.heappush(back, (c, u))
+                            if u in cost and cost[u] + c < best:
+                                best = cost[u] + c
+            if best == INF:
+                continue
+            reached.append(t)
+            if back:
+                ball = max(ball, best - back[0][0])
+            for v in settled:
+                spare[v] = max(spare.get(v, -1), best - rest[v])
+        return self._walk(s, reached, q, far, free, ball, spare)
+
+    def _walk(self, s: int, targets: list[int], q: np.ndarray, far: dict[int, float], free: set[int], ball: int, spare: dict[int, int]) -> set[int]:
+        cost, pred, done, left = {s: 0}, {}, set(), set(targets)
+        heap = [(0, 0.0, s)]
+        while heap and left:
+            d, _, u = heapq.heappop(heap)
+            if u in done:
+                continue
+            done.add(u)
+            left.discard(u)
+            d += 0 if u in free else self.degrees[u]
+            new = [v for v in dict.fromkeys(self.after(u)) if d < cost.get(v, INF) and (d <= ball or d <= spare.get(v, -1))]
+            if unknown := [v for v in new if v not in far]:
+                gap = self.x[unknown] - q
+                far.update(zip(unknown, (gap * gap).sum(axis=1).tolist(), strict=True))
+            for v in new:
+                cost[v], pred[v] = d, u
+                heapq.heappush(heap, (d, far[v], v))
+        return Prefix._chains(targets, pred)
+
+
 # -- over tables ----------------------------------------------------------------------------------------------------
 class Lists:
     """Neighbour lists of the whole base, or of `depth` ranks, that are only searched as deep as they are read."""
@@ -301,6 +404,7 @@ class Lists:
         self.base, self.query = base, query
         n = base.where("vec_id IS NOT NULL AND v IS NOT NULL").count()
         self.total = min(n, depth) if depth else n
+        self.whole = self.total == n
 
     def first(self, n: int | None, only: DataFrame | None = None) -> DataFrame:
         """(q_id, rank, id, total) of the first n ranks; only(q_id): of those queries."""
@@ -403,9 +507,37 @@ def effort_fixed_delta(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int,
 
 
 def effort_unbounded(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int) -> DataFrame:
+    """(q_id, me) through the whole list of each query.
+
+    Of lists over the whole base only the first k ranks are searched, and the graph is sent as arrays below the measured
+    bound of graph searches; beyond it, and for a list that ends before the base does, each query gets all its ranks.
+    """
+    if isinstance(gt, Lists) and gt.whole and shards_needed(edges := _cut(edges), gt.base) == 1:
+        return _unbounded_by_arrays(gt, edges, k, p)
     return _judged(prefixes(gt, adjacency(edges)), ("me",), lambda x: (unbounded_effort_of(x, k, r, p),))
 
 
+def _unbounded_by_arrays(gt: Lists, edges: DataFrame, k: int, p: int) -> DataFrame:
+    vector = F.col("v").cast("array<double>").alias("v")
+    rows = gt.base.where("vec_id IS NOT NULL AND v IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), vector).toArrow().sort_by("vec_id")
+    x = _vectors(rows["v"].combine_chunks()) if rows.num_rows else np.zeros((0, 0))
+    e = edges.select(F.col("src").cast("long"), F.col("pos").cast("long"), F.col("dst").cast("long")).toArrow().sort_by([("src", "ascending"), ("pos", "ascending")])
+    there = np.isfinite(x).all(axis=1)  # others are in no list
+    whole = Whole(rows["vec_id"].to_numpy()[there], x[there], e["src"].to_numpy(), e["dst"].to_numpy())
+    sent = gt.base.sparkSession.sparkContext.broadcast(whole)
+    near = gt.first(k).groupBy("q_id").agg(F.sort_array(F.collect_list(F.struct("rank", "id"))).alias("p"))
+    near = near.join(gt.query.select("q_id", vector), "q_id").select("q_id", F.transform("p", lambda x: x["id"]).alias("ids"), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, got = _vectors(batch.column(2)) if batch.num_rows else [], []
+            for i, ids in enumerate(batch.column(1).to_pylist()):
+                got.append(sent.value.effort(q[i], ids, p))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.int64())], ["q_id", "me"])
+
+    return spread(near, "q_id").mapInArrow(run, "q_id long, me long")
+
+
 def k0(gt: DataFrame | Lists, edges: DataFrame, k: int, r: int, p: int, beta: float = 1.0) -> DataFrame:
     """(q_id, k0); null where no list length suffices."""
     return _judged(prefixes(gt, adjacency(edges), math.floor((1 + beta) * k)), ("k0",), lambda x: (k0_of(x, k, r, p, beta),))
