@@ -168,3 +168,41 @@ def test_unbounded_effort_reads_no_more_than_the_nearest(spark):
     assert asked == [4]
     want = effort.effort_unbounded(effort.Lists(base, query).first(None).select("q_id", "rank", "id"), edges, 4, 3, 3)
     assert got == {r.q_id: r.me for r in want.collect()} and len(got) == 10
+
+
+def tree_of_all_ways(x, s, targets, m):
+    """The greedy tree by a search from every hub."""
+    left, nodes = set(targets) - {s}, set()
+    from_s, to_hub = x.distances(s, m)
+    ways = {h: x.distances(h, m) for h in from_s}
+    while left:
+        bunches = []
+        for h in sorted(from_s):
+            near = sorted((d, t) for t in left if (d := ways[h][0].get(t)) is not None)
+            for n in range(1, len(near) + 1):
+                bunches.append(((from_s[h] + sum(d for d, _ in near[:n])) / n, h, n, [t for _, t in near[:n]]))
+        if not bunches:
+            break
+        _, h, _, got = min(bunches)
+        nodes |= x._chains([h], to_hub) | x._chains(got, ways[h][1]) | ({h} if h != s else set())
+        left -= set(got)
+    return nodes | ({s} if targets else set())
+
+
+@settings(max_examples=300, deadline=None)
+@given(graphs, st.integers(4, 10))
+def test_tree_equals_a_search_from_every_hub(g, m):
+    x, m = prefix(*g), min(g[0], m)
+    for s in range(1, 5):
+        for targets in (x.reach(s, 4, m), [1, 2, 3, 4]):
+            assert x.tree(s, targets, m) == tree_of_all_ways(x, s, targets, m)
+
+
+def test_tree_searches_do_not_grow_with_the_hubs():
+    n = 400
+    rng = np.random.default_rng(2)
+    x = prefix(n, [(u, int(v)) for u in range(1, n + 1) for v in rng.choice(n, 8, replace=False) + 1 if v != u])
+    searches, run = [], x.distances
+    x.distances = lambda s, m: searches.append(s) or run(s, m)
+    effort_of(x, 10, 9, 9, n, path="tree")
+    assert len(searches) <= 9 + 9 * 10

@@ -28,6 +28,8 @@ from .search import shards_needed
 from .stats import _cut
 
 INF = math.inf
+#: Stands for no way among whole-number costs; sums of a row of them stay in 64 bits.
+FAR = 1 << 50
 #: Ranks that are tried in turn; None stands for all.
 RANKS = (100, 400, 1600, 6400, 25_600, None)
 
@@ -40,6 +42,9 @@ class Prefix:
         rank = {v: r for r, v in enumerate(ids, 1)}
         self.next = [[rank[v] for v in o if v in rank] for o in out]
         self.place = [[(p, rank[v]) for p, v in enumerate(o, 1) if v in rank] for o in out]
+        self._found: dict[tuple[int, int], dict[int, int]] = {}
+        self._back: dict[tuple[int, int], np.ndarray] = {}
+        self._into: dict[int, list[list[int]]] = {}
 
     def degree(self, r: int) -> int:
         return len(self.out[r - 1])
@@ -138,27 +143,59 @@ class Prefix:
         """Nodes of a two-level greedy tree from s to the targets.
 
         Again and again the cheapest bunch a target is taken: a hub and its nearest uncovered targets, at the cost of
-        the way to the hub and from there to each.  Ties go to the lesser hub, then to the smaller bunch.
+        the way to the hub and from there to each.  Ties go to the lesser hub, then to the smaller bunch.  Costs from
+        all hubs come from one search back from each target; only chosen hubs are searched forward.
         """
-        left, nodes = set(targets) - {s}, set()
+        left, nodes = sorted(set(targets) - {s}), set()
         from_s, to_hub = self.distances(s, m)
-        ways = {h: self.distances(h, m) for h in from_s}
+        hubs = sorted(from_s)
+        to_s = np.array([from_s[h] for h in hubs], np.int64)
+        rest = {t: self._rest(t, m)[hubs] for t in left}
         while left:
-            best = None
-            for h in sorted(from_s):
-                near = sorted((d, t) for t in left if (d := ways[h][0].get(t)) is not None)
-                cost = from_s[h]
-                for n, (d, _) in enumerate(near, 1):
-                    cost += d
-                    if best is None or cost / n < best[0]:
-                        best = cost / n, h, [t for _, t in near[:n]]
-            if best is None:
+            near = np.stack([rest[t] for t in left], axis=1)
+            order = np.argsort(near, axis=1, kind="stable")
+            near = np.take_along_axis(near, order, axis=1)
+            cost = (to_s[:, None] + near.cumsum(axis=1)) / np.arange(1, len(left) + 1)
+            cost[near == FAR] = INF
+            best = int(cost.argmin())
+            if cost.flat[best] == INF:
                 break
-            _, h, got = best
-            nodes |= self._chains([h], to_hub) | self._chains(got, ways[h][1]) | ({h} if h != s else set())
-            left -= set(got)
+            at, last = divmod(best, len(left))
+            h, got = hubs[at], [left[i] for i in order[at, : last + 1].tolist()]
+            nodes |= self._chains([h], to_hub) | self._chains(got, self._ways(h, m)) | ({h} if h != s else set())
+            left = [t for t in left if t not in got]
         return nodes | ({s} if targets else set())
 
+    def _ways(self, h: int, m: int) -> dict[int, int]:
+        """Predecessors on the cheapest ways from h, found once for all sources."""
+        if (h, m) not in self._found:
+            self._found[h, m] = self.distances(h, m)[1]
+        return self._found[h, m]
+
+    def _rest(self, t: int, m: int) -> np.ndarray:
+        """Cost to t by rank of the first m, FAR where none leads there, found once for all sources."""
+        if (t, m) in self._back:
+            return self._back[t, m]
+        if m not in self._into:
+            self._into[m] = into = [[] for _ in range(m + 1)]
+            for u in range(1, m + 1):
+                for v in self.next[u - 1]:
+                    if v <= m:
+                        into[v].append(u)
+        into, rest, heap = self._into[m], {t: 0}, [(0, t)]
+        while heap:
+            d, v = heapq.heappop(heap)
+            if d > rest[v]:
+                continue
+            for u in into[v]:
+                c = d + self.degree(u)
+                if c < rest.get(u, INF):
+                    rest[u] = c
+                    heapq.heappush(heap, (c, u))
+        found = self._back[t, m] = np.full(m + 1, FAR)
+        found[list(rest)] = list(rest.values())
+        return found
+
     def flow_tree(self, s: int, targets: list[int], m: int) -> set[int]:
         """Nodes of a tree from s to the targets by simulated flow.
 
