@@ -238,3 +238,22 @@ def test_workflows_end_to_end(spark, cloud):
     edges, model = pipeline.preprocess(b, s)
     got = pipeline.benchmark(spark, b, edges, model, s)
     assert 0 < got.count() <= 20 and set(got.columns) == {"q_id", "me", "bin", "v"}
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_expressions_take_any_number_of_pairs(spark, cloud, monkeypatch, metric):
+    b, q = vectors(spark, cloud[20:]), vectors(spark, cloud[:20], "q_id")
+    monkeypatch.setattr(knn, "EXPRESSION_PAIRS", 10)
+    rows = lambda df: sorted((r.q_id, r.rank, r.id) for r in df.collect())
+    want = rows(knn.exact_knn(b, q, 7, metric))
+    assert rows(knn.exact_knn(b, q, 7, metric, engine="sql_bounded")) == want
+    monkeypatch.setattr(knn, "UNROLLED", 0)
+    assert rows(knn.exact_knn(b, q, 7, metric, engine="sql_bounded")) == want
+    assert rows(knn.exact_knn(b.where("vec_id < 3"), q, 7, metric, engine="sql_bounded")) == rows(knn.exact_knn(b.where("vec_id < 3"), q, 7, metric))
+
+
+def test_expression_query_is_not_refused(spark, sf, monkeypatch):
+    from vecscope.plans import queries
+
+    monkeypatch.setattr(knn, "EXPRESSION_PAIRS", 10)
+    assert queries.exact_knn_expressions(spark, sf).count() == 500

@@ -77,7 +77,7 @@ def exact_knn(s, d):
 @query
 def exact_knn_expressions(s, d):
     b, q = base_query(s, d)
-    return knn.exact_knn(b, q, K, engine="sql").select("q_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist", "dist"))
+    return knn.exact_knn(b, q, K, engine="sql_bounded").select("q_id", F.col("rank").cast("long").alias("rank"), "id", r6("dist", "dist"))
 
 
 @query
